@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import near_dedup, shared, substring_dedup
+from palimpsest.llm import classifier, decontaminate, near_dedup, packing, shared, substring_dedup
+
+
+def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it is fitted on the labelled ones."""
+    return classifier.kept(docs, classifier.train(docs, shared.table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,17 +17,30 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return near_dedup.one_of_each(docs, near_dedup.near_duplicates(docs))
 
 
-def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each passage that repeats, the first occurrence stays."""
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each passage that repeats, the first occurrence stays; the others are cut out of their texts."""
     return substring_dedup.without_repeats(docs, substring_dedup.repeated_paragraphs(docs))
 
 
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that are mostly benchmark go."""
+    return decontaminate.decontaminate(docs, shared.table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left goes into bins."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("quality_classifier", drop_rejected),
     ("near_dedup", drop_near_duplicates),
-    ("substring_dedup", drop_repeated_passages),
+    ("substring_dedup", cut_repeated_passages),
+    ("decontamination", cut_benchmark),
+    ("packing", pack),
 ]
 
-#: MinHash, trained models and packing can't be written in SQL; the stages are tested by brute force.
+#: A trained network, MinHash and packing can't be written in SQL; each stage is tested by brute force.
 ORACLE_SQL = None
 
 

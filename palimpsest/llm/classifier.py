@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from . import shared
 from . import textkernels as tk
 
-WIDTH, EMBED, FILTERS, HALF = 8, 8, 40, 256
+WIDTH, EMBED, FILTERS, HALF = 8, 8, 64, 256
 #: Labelled rows used to fit, and the longest text among them in bytes; scoring has no such bounds.
-MOST_ROWS, MOST_BYTES = 4000, 1 << 16
-EPOCHS, BATCH, RATE, SEED, KEEP = 5, 32, 0.004, 11, 0.5
+MOST_ROWS, MOST_BYTES = 6000, 1 << 16
+EPOCHS, BATCH, RATE, SEED, KEEP = 6, 32, 0.003, 11, 0.5
+#: Seed n-grams: their length, and how many a bad document is to be covered by.
+GRAM, COVER = 5, 3
 _r = np.random.default_rng(3)
 TABLE = (_r.standard_normal((256, EMBED)) / np.sqrt(EMBED)).astype(np.float32)
 TABLE[0] = 0
@@ -74,24 +76,40 @@ class Network:
         x = self.pooled(self.halves(data), first)[0] @ self.v + self.c
         return 1 / (1 + np.exp(-x.astype(np.float64)))
 
-    def seed_filters(self, off: np.ndarray, raw: np.ndarray, bad: np.ndarray, n: int = 6) -> None:
+    def seed_filters(self, off: np.ndarray, raw: np.ndarray, bad: np.ndarray, n: int = GRAM, cover: int = COVER) -> None:
         """Begin filters at byte n-grams that tell bad documents from good: a greedy cover, then the gradient goes on."""
-        doc = np.repeat(np.arange(len(bad)), np.diff(off))
-        h = np.zeros(max(0, len(raw) - n + 1), np.uint64)
-        for i in range(n):
-            h = (h << np.uint64(8)) | raw[i : len(raw) - n + 1 + i]
-        same = doc[: len(h)] == doc[n - 1 :]
-        pair = np.unique(np.stack([h[same], doc[: len(h)][same].astype(np.uint64)]), axis=1) if same.any() else np.zeros((2, 0), np.uint64)
-        gram, g = np.unique(pair[0], return_inverse=True)
-        d = pair[1].astype(np.int64)
-        bad_n, good_n = np.bincount(g[bad[d]], minlength=len(gram)), np.bincount(g[~bad[d]], minlength=len(gram))
-        useful = (bad_n >= 3) & (bad_n >= 5 * good_n)
-        keep = useful[g] & bad[d]
-        g, d = g[keep], d[keep]
-        open_ = np.ones(len(bad), bool)
+
+        def grams(which: np.ndarray):
+            """Distinct (gram, text) of the chosen texts."""
+            for part in np.array_split(which, max(1, len(which) // 256)):
+                for i in part:
+                    x = raw[off[i] : off[i + 1]].astype(np.uint64)
+                    h = np.zeros(max(0, len(x) - n + 1), np.uint64)
+                    for k in range(n):
+                        h = (h << np.uint64(8)) | x[k : len(x) - n + 1 + k]
+                    yield i, np.unique(h)
+
+        found = list(grams(np.flatnonzero(bad)))
+        gram, bad_n = np.unique(np.concatenate([h for _, h in found]), return_counts=True)
+        gram, bad_n = gram[bad_n >= 3], bad_n[bad_n >= 3]
+        if not len(gram):
+            return
+
+        def known(h: np.ndarray) -> np.ndarray:
+            i = np.minimum(np.searchsorted(gram, h), len(gram) - 1)
+            return i[gram[i] == h]
+
+        good_n = np.zeros(len(gram), np.int64)
+        for _, h in grams(np.flatnonzero(~bad)):
+            good_n[known(h)] += 1
+        useful = bad_n >= 5 * good_n
+        pairs = [(i, k[useful[k]]) for i, h in found for k in [known(h)]]
+        g = np.concatenate([k for _, k in pairs])
+        d = np.repeat([i for i, _ in pairs], [len(k) for _, k in pairs])
+        open_ = np.full(len(bad), cover)
         chosen: list[int] = []
         for _ in range(int(len(self.b) * 0.8)):
-            live = open_[d]
+            live = open_[d] > 0
             if not live.any():
                 break
             gain = np.bincount(g[live], minlength=len(gram)) - 2.0 * good_n
@@ -99,7 +117,13 @@ class Network:
             if gain[best] < 2:
                 break
             chosen.append(best)
-            open_[d[g == best]] = False
+            hit = g == best
+            open_[d[hit]] -= 1
+            # what overlaps a chosen n-gram in the same documents says nothing new
+            near = np.bincount(g[np.isin(d, d[hit])], minlength=len(gram))
+            stale = near >= 0.8 * np.maximum(np.bincount(g, minlength=len(gram)), 1)
+            drop = ~(stale[g] & np.isin(g, np.flatnonzero(near > 0)))
+            g, d = g[drop], d[drop]
         for f, best in enumerate(chosen):
             text = [(int(gram[best]) >> (8 * (n - 1 - i))) & 255 for i in range(n)]
             e = np.zeros((WIDTH, EMBED), np.float32)
