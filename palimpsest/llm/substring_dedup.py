@@ -117,7 +117,7 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, least_wor
     out = where.join(shared.small(found, 24), "node", "left").withColumn("cluster", cluster).join(shared.small(many.select("cluster", "first"), 40), "cluster")
     out = out.select(
         "doc_id", "para", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.para").alias("first_para"),
-        ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("para") == F.col("first.para"))).alias("removed"),
+        (~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("para") == F.col("first.para")))).alias("removed"),
     )
     return out
 
