@@ -1,7 +1,9 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the library's own operators and their SQL."""
 
 from __future__ import annotations
 
+from . import context, decisions, ledgers  # noqa: F401
+from .base import ORACLES, QUERIES
+
 FLAGSHIP = "cache_cost_by_strategy"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
