@@ -17,6 +17,7 @@ from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType
 
 from . import text as T
 
@@ -396,10 +397,13 @@ def verify(record: dict, key: str) -> bool:
     return isinstance(record.get("sig"), str) and hmac.compare_digest(sign(record, key), record["sig"])
 
 
+_TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "boolean": BooleanType()}
+
+
 def udf(function: Callable[..., object], returns: str = "string"):
     """An Arrow-batched UDF of a codec: null in, null out."""
 
-    @F.pandas_udf(returns)
+    @F.pandas_udf(_TYPES[returns])
     def run(*columns: pd.Series) -> pd.Series:
         return pd.Series([None if any(v is None for v in row) else function(*row) for row in zip(*columns, strict=True)], dtype=object)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import stats as S
 from ..functions import text as T
@@ -57,12 +58,12 @@ def level_stats(losses: DataFrame) -> DataFrame:
     return g.select("level_idx", "level", "n", "risk", "var", F.when(F.col("b") == 0, 0.0).otherwise(1 - F.col("c") / F.col("b")).alias("savings"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hb_pvalue(risk: pd.Series, n: pd.Series, alpha: pd.Series) -> pd.Series:
     return pd.Series([S.hb_p(r, int(k), a) for r, k, a in zip(risk, n, alpha, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hb_upper(risk: pd.Series, n: pd.Series, delta: pd.Series) -> pd.Series:
     return pd.Series([S.hb_bound(r, int(k), d) for r, k, d in zip(risk, n, delta, strict=True)], dtype=float)
 
