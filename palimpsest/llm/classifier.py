@@ -138,7 +138,7 @@ class Network:
         m, s, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         f = len(self.b)
         share = float(good.mean()) if len(good) else 0.5
-        if not 0 < share < 1:  # one class only: the prior is all that can be learned
+        if not len(good) or not 0 < share < 1:  # one class only: the prior is all that can be learned
             self.v[:] = 0
             self.c[:] = 4.0 if share >= 0.5 else -4.0
             return self
@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_b
         F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"), F.max(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("also")
     ).where("good = also")
     sample = lab.orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows)
-    rows = docs.where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).where(F.octet_length("text") <= most_bytes)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).where(F.octet_length("text") <= most_bytes)
     got = rows.select("label_id", "text", "good").dropDuplicates(["label_id"]).toPandas().sort_values("label_id")
     off, raw = tk.buffers(tk.plain(pa.array(got["text"].tolist(), pa.string())))
     return Network().fit(off, raw, got["good"].to_numpy().astype(bool))

@@ -162,14 +162,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = DRO
     with a null doc_id or text, stay as they are; extra columns stay.
     """
     leaks = shared.written(find_leaks(docs, benchmark, **how), "leaks")
-    per = merged_spans(leaks).select(F.col("doc_id").alias("leak_id"), F.col("spans").alias("leak_spans"), F.col("share").alias("leak_share"))
-    joined = docs.join(shared.small(per, 200), F.col("doc_id") == F.col("leak_id"), "left")
+    per = merged_spans(leaks).select(F.col("doc_id").alias("__leak_id"), F.col("spans").alias("__leak_spans"), F.col("share").alias("__leak_share"))
+    joined = docs.join(shared.small(per, 200), F.col("doc_id") == F.col("__leak_id"), "left")
     cut = F.aggregate(
-        F.reverse("leak_spans"), F.col("text"), lambda acc, s: F.concat(F.substring(acc, F.lit(1), s[0].cast("int")), F.lit(" "), F.substr(acc, s[1].cast("int") + 1))
+        F.reverse("__leak_spans"), F.col("text"), lambda acc, s: F.concat(F.substring(acc, F.lit(1), s[0].cast("int")), F.lit(" "), F.substr(acc, s[1].cast("int") + 1))
     )
-    out = joined.where(f"leak_id is null or leak_share <= {drop_share}").withColumn("text", F.when(F.col("leak_id").isNull(), F.col("text")).otherwise(F.trim(cut)))
+    out = joined.where(f"__leak_id is null or __leak_share <= {drop_share}").withColumn("text", F.when(F.col("__leak_id").isNull(), F.col("text")).otherwise(F.trim(cut)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("leak_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__leak_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

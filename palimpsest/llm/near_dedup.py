@@ -106,14 +106,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs without the documents that near_duplicates() doesn't keep; of rows that repeat a doc_id in a group one stays."""
-    drop = groups.where("not keep").select(F.col("doc_id").alias("drop_id"))
-    left = docs.join(shared.small(drop, 16), F.col("doc_id") == F.col("drop_id"), "left_anti")
-    again = shared.written(left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id")), "again")
+    drop = groups.where("not keep").select(F.col("doc_id").alias("__drop_id"))
+    left = docs.join(shared.small(drop, 16), F.col("doc_id") == F.col("__drop_id"), "left_anti")
+    again = shared.written(left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again_id")), "again")
     if again.isEmpty():
         return left
     again = shared.small(again, 16)
-    twice = left.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, F.col("doc_id") == F.col("again_id"), "left_anti").unionByName(twice)
+    twice = left.join(again, F.col("doc_id") == F.col("__again_id"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, F.col("doc_id") == F.col("__again_id"), "left_anti").unionByName(twice)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,19 +153,21 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small_
     tiny = every.where(F.col("length") <= limit)
     shards = max(1, -(-(tiny.count() + base) // per_shard))
     gaps = placed.groupBy("bin_no").agg((F.lit(capacity) - F.sum("length")).alias("gap"))
+    zero = F.lit(0).cast("long")
+    # no nulls, so that pandas keeps whole numbers
     both = gaps.select(
-        F.pmod(F.xxhash64("bin_no"), F.lit(shards)).alias("shard"), "bin_no", "gap", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("piece"), F.lit(None).cast("long").alias("begin"), F.lit(None).cast("long").alias("length")
-    ).union(tiny.select(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)), F.lit(None).cast("long"), F.lit(None).cast("long"), "doc_id", "piece", "begin", "length"))
+        F.pmod(F.xxhash64("bin_no"), F.lit(shards)).alias("shard"), F.lit(True).alias("is_gap"), F.lit(False).alias("no_id"), F.col("bin_no").alias("id"), zero.alias("piece"), zero.alias("begin"), F.col("gap").alias("length")
+    ).union(tiny.select(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)), F.lit(False), F.col("doc_id").isNull(), F.coalesce("doc_id", zero), "piece", "begin", "length"))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
-        bins, items = rows[rows["gap"].notna()].sort_values("bin_no"), rows[rows["length"].notna()]
-        items = items.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True])
+        bins, items = rows[rows["is_gap"]].sort_values("id"), rows[~rows["is_gap"]]
+        items = items.sort_values(["length", "no_id", "id", "piece"], ascending=[False, True, True, True])
         stacks: dict[int, list[str]] = {}
-        for b, g in zip(bins["bin_no"].astype("int64"), bins["gap"].astype("int64"), strict=True):
+        for b, g in zip(bins["id"], bins["length"], strict=True):
             stacks.setdefault(int(g), []).append(f"C{b}")
         gaps_, new, names = sorted(stacks), 0, []
-        for n in items["length"].astype("int64"):
+        for n in items["length"]:
             i = bisect.bisect_left(gaps_, n)
             if i < len(gaps_):
                 g = gaps_[i]
@@ -181,12 +183,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small_
                 stacks[left] = [name]
                 bisect.insort(gaps_, left)
             names.append(name)
-        out = items[["doc_id", "piece", "begin", "length"]].copy()
-        out["bin"] = names
-        return out.astype({"doc_id": "Int64", "piece": "int64", "begin": "int64", "length": "int64"})
+        return items[["no_id", "id", "piece", "begin", "length"]].assign(bin=names)
 
-    ddl = "doc_id long, piece long, begin long, length long, bin string"
-    fitted = both.groupBy("shard").applyInPandas(fit, ddl)
+    fitted = both.groupBy("shard").applyInPandas(fit, "no_id boolean, id long, piece long, begin long, length long, bin string")
+    fitted = fitted.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "piece", "begin", "length", "bin")
     filled = placed.select("doc_id", "piece", "begin", "length", F.concat(F.lit("C"), F.col("bin_no").cast("string")).alias("bin"))
     whole = ranked.where("grp = -1").select("doc_id", "piece", "begin", "length", F.concat(F.lit("F"), F.col("rank").cast("string")).alias("bin"))
     return whole.union(filled).union(fitted)

@@ -13,27 +13,43 @@ from . import textkernels as tk
 
 #: A region of more rows is searched one signature value deeper, as long as there is one.
 DENSE = 512
+#: Agreement above the least from which a pair is taken to pass the exact test.
+DOUBT = 0.25
 #: Rows of one bucket held at a time; the leader of the last one is carried over.
 HELD = 20_000
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _leaders(node: np.ndarray, sig: np.ndarray, at: np.ndarray, least: float, out: list) -> None:
-    """Link every row to the first row it resembles, and resembling clusters to each other."""
+    """Link every row to the first row it resembles, and resembling clusters to each other.
+
+    A row that resembles its leader only so far that the exact test may refuse the pair is also
+    linked to the two rows most like it among those around it in the order.
+    """
     owner = np.full(len(at), -1)
     k = sig.shape[1]
+    doubtful = np.zeros(len(at), bool)
     for i in range(len(at)):
         if owner[i] >= 0:
             continue
         owner[i] = i
-        alike = np.flatnonzero((sig[at] == sig[at[i]]).sum(1) >= least * k)
+        agree = (sig[at] == sig[at[i]]).sum(1)
+        alike = np.flatnonzero(agree >= least * k)
         alike = alike[alike != i]
         free = alike[owner[alike] < 0]
+        doubtful[free] = agree[free] < (least + DOUBT) * k
         owner[free] = i
         rest = alike[owner[alike] != i]
         _, one = np.unique(owner[rest], return_index=True)
         for j in (*free, *rest[one]):
             out.append((node[at[i]], node[at[j]]))
+    for j in np.flatnonzero(doubtful):
+        low = max(0, j - DENSE // 2)
+        agree = (sig[at[low : j + DENSE // 2]] == sig[at[j]]).sum(1)
+        agree[j - low] = 0
+        for i in np.argsort(-agree, kind="stable")[:2]:
+            if agree[i] >= least * k:
+                out.append((node[at[low + i]], node[at[j]]))
 
 
 def _search(node, rest, sig, at, depth, most, least, out) -> None:

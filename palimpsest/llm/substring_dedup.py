@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import regions, shared
 from . import textkernels as tk
 
-LEAST_WORDS, SHINGLE, THRESHOLD, RECALL = 20, 3, 0.7, 0.97
+LEAST_WORDS, SHINGLE, THRESHOLD, RECALL = 20, 3, 0.7, 0.99
 SLACK = 0.15
 
 
@@ -124,15 +124,15 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, least_wor
 
 def without_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
     """docs with the removed lines cut out of text and n_chars set anew; a text left blank goes, other rows stay as they are."""
-    gone = repeats.where("removed").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("para").alias("gone_paras"))
-    joined = docs.join(shared.small(gone, 200), F.col("doc_id") == F.col("gone_id"), "left")
+    gone = repeats.where("removed").groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_set("para").alias("__gone_paras"))
+    joined = docs.join(shared.small(gone, 200), F.col("doc_id") == F.col("__gone_id"), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone_paras", i.cast("long"))), "\n")
-    text = F.when(F.col("gone_paras").isNull(), F.col("text")).otherwise(kept)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone_paras", i.cast("long"))), "\n")
+    text = F.when(F.col("__gone_paras").isNull(), F.col("text")).otherwise(kept)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone_paras").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.where("gone_paras is null or text rlike '\\\\S'").select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("__gone_paras").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.where("__gone_paras is null or text rlike '\\\\S'").select(*docs.columns)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

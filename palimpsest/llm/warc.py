@@ -90,8 +90,9 @@ def rebuild(heads: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def write_warc(rebuilt: DataFrame, path: str) -> None:
-    """Write records as .warc text files, one for each partition: each followed by the two line ends that the format asks for."""
-    rebuilt.select(F.concat(F.decode("record", "iso-8859-1"), F.lit("\r\n\r\n"))).write.option("lineSep", "").option("encoding", "iso-8859-1").text(path)
+    """Write records as WARC files, one for each partition: the bytes as they are, each record followed by two line ends."""
+    # the text sink writes a string's bytes unchanged, and lineSep is the second line end
+    rebuilt.select(F.concat(F.col("record"), F.lit(b"\r\n")).cast("string")).write.option("lineSep", "\r\n").text(path)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
