@@ -24,13 +24,13 @@ TABLE[0] = 0
 
 
 def layout(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with each text begun at a multiple of HALF and followed by zeros, and each text's first half chunk."""
+    """Bytes with each text after WIDTH zeros from a multiple of HALF, so that no window sees two texts, and each text's first half chunk."""
     size = np.diff(off)
     halves = (size + WIDTH + HALF - 1) // HALF
     first = np.zeros(len(size) + 1, np.int64)
     np.cumsum(halves, out=first[1:])
     out = np.zeros(int(first[-1]) * HALF + WIDTH, np.uint8)
-    out[np.arange(len(raw)) + np.repeat(first[:-1] * HALF - off[:-1], size)] = raw
+    out[np.arange(len(raw)) + np.repeat(first[:-1] * HALF + WIDTH - off[:-1], size)] = raw
     return out, first
 
 

@@ -233,11 +233,11 @@ class Model:
         de[ids[at][real]] = sums[real]
         grads["e"] = de
 
-    def run(self, ids: np.ndarray, first: np.ndarray, train: bool, window: int = WINDOW) -> np.ndarray:
+    def run(self, ids: np.ndarray, first: np.ndarray, train: bool, window: int = WINDOW, lanes: int = LANES) -> np.ndarray:
         """Log-likelihood of each whole text; the state goes on from window to window. With train, an Adam step after each window."""
         if len(first) < 2:
             return np.zeros(0)
-        x, y, place, size, length = streams(ids, first)
+        x, y, place, size, length = streams(ids, first, lanes)
         total, h = np.zeros(y.shape, np.float32), np.zeros((x.shape[1], self.h), np.float32)
         for at in range(0, len(x), window):
             live = int(np.searchsorted(-length, -at, "left"))
@@ -295,7 +295,7 @@ def average(rows: DataFrame) -> DataFrame:
     return rows.withColumn("part", part).groupBy("part").applyInArrow(mean, "weight double, params binary")
 
 
-def train(docs: DataFrame, words: Vocabulary) -> Model:
+def train(docs: DataFrame, words: Vocabulary, lanes: int = LANES) -> Model:
     """One pass over every document: each partition trains from the same start, and the mean of the results, by tokens, is the model."""
     model = Model(words.counts)
     sent = docs.sparkSession.sparkContext.broadcast((words, model))
@@ -305,7 +305,7 @@ def train(docs: DataFrame, words: Vocabulary) -> Model:
         weight = 0
         for batch in batches:
             ids, first, _ = vocab.encode(tk.plain(batch.column(0)))
-            own.run(ids, first, train=True)
+            own.run(ids, first, train=True, lanes=lanes)
             weight += len(ids)
         if weight:
             yield pa.RecordBatch.from_arrays([pa.array([float(weight)]), pa.array([_pack(own.params())], pa.binary())], names=["weight", "params"])

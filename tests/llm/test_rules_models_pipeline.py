@@ -57,10 +57,9 @@ def test_network_sees_every_byte():
             off, raw = tk.buffers(arr)
             data, first = classifier.layout(off, raw)
             h = net.halves(data)
-            emb = classifier.TABLE[np.concatenate([raw[off[-2 if len(texts) > 1 else 0] :], np.zeros(8, np.uint8)])]
-            brute = [max((float(classifier.TABLE[np.frombuffer((t + bytes(8))[i : i + 8], np.uint8)].ravel() @ net.w[:, 0]) for i in range(len(t))), default=0.0) for t in texts]
+            brute = [max((float(classifier.TABLE[np.frombuffer((bytes(8) + t + bytes(8))[i : i + 8], np.uint8)].ravel() @ net.w[:, 0]) for i in range(len(t) + 8)), default=0.0) for t in texts]
             got = [h[a:b, 0].max() for a, b in zip(first[:-1], first[1:])]
-            assert np.allclose(np.maximum(got, 0), np.maximum(brute, 0), atol=1e-4), (n, emb.shape)
+            assert np.allclose(np.maximum(got, 0), np.maximum(brute, 0), atol=1e-4), n
         if n > 5000:
             break
 
@@ -105,7 +104,7 @@ def test_language_model_gradients():
     loss(grads)
     for n in m.names:
         p, g = getattr(m, n), grads[n]
-        for i in r.choice(p.size, 6, replace=False):
+        for i in r.choice(p.size, min(6, p.size), replace=False):
             at = np.unravel_index(i, p.shape)
             keep = p[at]
             p[at] = keep + 1e-2
@@ -140,7 +139,7 @@ def test_language_model_learns(spark):
     train, held = [say(40) for _ in range(400)], [say(30) for _ in range(20)]
     docs = spark.createDataFrame(list(enumerate(train)), "doc_id long, text string").repartition(2)
     words = lm_scoring.vocabulary(docs)
-    model = lm_scoring.train(docs, words)
+    model = lm_scoring.train(docs, words, lanes=16)
     p = np.log(words.counts / words.counts.sum())
     ids, first, spell = words.encode(tk.plain(pa.array(held)))
     assert (spell == 0).all()
@@ -192,7 +191,7 @@ def test_sql(spark, data, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages", "conversations", "labels"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
-    want = con.execute(__spark_entry__.oracle_sql()[name]).fetch_arrow_table()
+    want = con.execute(__spark_entry__.oracle_sql()[name]).to_arrow_table()
     got = __spark_entry__.queries()[name](spark, data)
     cols = sorted(got.columns)
     assert cols == sorted(want.column_names)
