@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import shared
 from . import textkernels as tk
 
-CLASSES, PER_CLASS, HIDDEN, LANES, WINDOW, RATE = 32, 32, 16, 512, 24, 0.01
+CLASSES, PER_CLASS, HIDDEN, LANES, WINDOW, RATE = 32, 32, 16, 256, 24, 0.01
 OTHER, EDGE = 0, 1  # ids of a word outside the vocabulary, and of a document's begin and end
 REDUCE = 64
 
@@ -234,11 +234,12 @@ class Model:
         grads["e"] = de
 
     def run(self, ids: np.ndarray, first: np.ndarray, train: bool, window: int = WINDOW, lanes: int = LANES) -> np.ndarray:
-        """Log-likelihood of each whole text; the state goes on from window to window. With train, an Adam step after each window."""
+        """Log-likelihood of each whole text; the state goes on from window to window. With train, an Adam step after each half window's worth of tokens of all lanes."""
         if len(first) < 2:
             return np.zeros(0)
         x, y, place, size, length = streams(ids, first, lanes)
         total, h = np.zeros(y.shape, np.float32), np.zeros((x.shape[1], self.h), np.float32)
+        waiting, held = 0, {}
         for at in range(0, len(x), window):
             live = int(np.searchsorted(-length, -at, "left"))
             xs, ys = x[at : at + window, :live], y[at : at + window, :live]
@@ -251,7 +252,13 @@ class Model:
                 dout = np.zeros_like(out)
                 dout[real] = dh
                 self.backward(xs, dout, saved, cand, start, grads)
-                self.adam(grads)
+                # windows at the end of long texts have few lanes: they wait for each other
+                k = int(real.sum())
+                held = {n: held[n] + g * np.float32(k) for n, g in grads.items()} if waiting else {n: g * np.float32(k) for n, g in grads.items()}
+                waiting += k
+                if waiting >= x.shape[1] * window // 2 or at + window >= len(x):
+                    self.adam({n: g / np.float32(waiting) for n, g in held.items()})
+                    waiting = 0
         cum = np.zeros((total.shape[1], total.shape[0] + 1))
         np.cumsum(total.T, axis=1, out=cum[:, 1:])
         return cum[place[:, 0], place[:, 1] + size] - cum[place[:, 0], place[:, 1]]
