@@ -109,9 +109,10 @@ def chat_blocks(bodies: DataFrame) -> DataFrame:
 
 def read_ledger(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad lines) of a JSON-lines ledger; a row that isn't an object of the schema counts as bad."""
-    raw = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    both = raw.select("*", F.col("_bad").isNotNull().alias("_is_bad"))
-    return both.where("not _is_bad").drop("_bad", "_is_bad"), both.where("_is_bad").select("_bad")
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    both = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", f"{schema}, _bad string", how).alias("r"), "value")
+    bad = F.col("r._bad").isNotNull()
+    return both.where(~bad).select("r.*").drop("_bad"), both.where(bad).select("value")
 
 
 def append(rows: DataFrame, path: str, by: str | None = None) -> None:
