@@ -24,18 +24,18 @@ def ledger_summary(ledger: DataFrame, by: Sequence[str] = (), since: float | Non
         x = x.where(F.col("ts") >= since)
     if session is not None:
         x = x.where(F.col("session") == session)
-    figures = ["baseline_dollars", "distil_dollars", "baseline_input_tokens", "distil_input_tokens"]
+    figures = ["baseline_dollars", "sent_dollars", "baseline_input_tokens", "sent_input_tokens"]
     bad = F.greatest(*[F.col(c).isNull().cast("int") for c in figures]) == 1
     x = x.withColumn("bad", bad)
     total = lambda c: F.coalesce(F.sum(F.when(~F.col("bad"), F.col(c))), F.lit(0)).alias(c)
     g = x.groupBy(*by).agg(
         F.count_if(~F.col("bad")).alias("runs"), F.count_if("bad").alias("corrupt"), F.count_if(~F.col("bad") & (F.coalesce("acct", F.lit(0)) < ERA)).alias("legacy"), *[total(c) for c in figures]
     )
-    return g.withColumn("dollars_saved", F.round(F.col("baseline_dollars") - F.col("distil_dollars"), 6)).withColumn("pct_saved", F.round(ratio(F.col("baseline_dollars") - F.col("distil_dollars"), F.col("baseline_dollars")), 6))
+    return g.withColumn("dollars_saved", F.round(F.col("baseline_dollars") - F.col("sent_dollars"), 6)).withColumn("pct_saved", F.round(ratio(F.col("baseline_dollars") - F.col("sent_dollars"), F.col("baseline_dollars")), 6))
 
 
 def per_model(ledger: DataFrame) -> DataFrame:
-    return ledger.groupBy("model").agg(F.count("*").alias("requests"), F.sum("baseline_input_tokens").alias("baseline"), F.sum("distil_input_tokens").alias("sent"))
+    return ledger.groupBy("model").agg(F.count("*").alias("requests"), F.sum("baseline_input_tokens").alias("baseline"), F.sum("sent_input_tokens").alias("sent"))
 
 
 def latest_session(ledger: DataFrame) -> DataFrame:
