@@ -141,3 +141,83 @@ def ensemble(votes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, any_changed, majority, unanimous) over graders' votes."""
     g = votes.groupBy(*keys).agg(F.sum(F.col("vote").cast("int")).alias("yes"), F.count("*").alias("n"))
     return g.select(*keys, (F.col("yes") > 0).alias("any_changed"), (F.col("yes") * 2 > F.col("n")).alias("majority"), (F.col("yes") == F.col("n")).alias("unanimous"))
+
+
+def certified_fallback(graded: DataFrame, target: float = 1.0) -> DataFrame:
+    """Per turn the first rung of the ladder that keeps the decision, within a budget the top rung where it saves most.
+
+    graded: traj_id, turn_idx, rung_idx, rung, same, tokens; the last rung is the unchanged text. Of a
+    trajectory's turns int((1 - target) * turns) may take the top rung though it changes the decision.
+    """
+    top = F.min_by(F.struct("rung_idx", "rung", "tokens"), "rung_idx")
+    ok = graded.where("same").groupBy("traj_id", "turn_idx").agg(top.alias("safe"))
+    t = graded.groupBy("traj_id", "turn_idx").agg(top.alias("top"), F.max_by(F.struct("rung_idx", "rung", "tokens"), "rung_idx").alias("full")).join(ok, ["traj_id", "turn_idx"], "left")
+    t = t.withColumn("safe", F.coalesce("safe", "full")).withColumn("gain", F.col("safe.tokens") - F.col("top.tokens"))
+    w = Window.partitionBy("traj_id")
+    budget = F.floor(F.lit(1 - target) * F.count("*").over(w) + 1e-6)
+    rank = F.row_number().over(Window.partitionBy("traj_id").orderBy(F.desc(F.when(F.col("gain") > 0, F.col("gain")).otherwise(0)), "turn_idx"))
+    t = t.withColumn("budget", budget).withColumn("rank", rank)
+    spend = (F.col("gain") > 0) & (F.col("rank") <= F.col("budget"))
+    pick = F.when(spend, F.col("top")).otherwise(F.col("safe"))
+    return t.withColumn("pick", pick).select("traj_id", "turn_idx", F.col("pick.rung").alias("rung"), F.col("pick.tokens").alias("tokens"), spend.alias("diverges"))
+
+
+def fallback_breakdown(chosen: DataFrame) -> DataFrame:
+    return chosen.groupBy("rung").agg(F.count("*").alias("turns"), F.sum("tokens").alias("tokens"))
+
+
+def operating_point(points: DataFrame, margin: float = 0.05) -> DataFrame:
+    """Of paired counts (name, gate_recent, b, c, n), the smallest gate_recent that isn't inferior; no row means full context."""
+    p = points.select("name", "gate_recent", "n", *S.mcnemar_columns(F.col("b"), F.col("c"), F.col("n"), margin))
+    return p.where("noninferior").orderBy("gate_recent").limit(1)
+
+
+def bandit(arms: Sequence[tuple[str, int]], draw, margin: float = 0.05, budget: int = 4000, batch: int = 40, least: int = 30) -> dict:
+    """Successive elimination over operating points: draw(name, k) gives (losses, gains) of k paired samples, one aggregate in Spark."""
+    state = {name: [recent, 0, 0, 0] for name, recent in sorted(arms, key=lambda a: a[1])}
+    alive, used = list(state), 0
+
+    def interval(name):
+        _, b, c, n = state[name]
+        se = (max(0.0, ((b + c) - (b - c) ** 2 / n) / n**2)) ** 0.5 if n else 0.0
+        return ((c - b) / n - S.Z95 * se, (c - b) / n + S.Z95 * se) if n else (-1.0, 1.0)
+
+    while alive and used < budget:
+        for name in list(alive):
+            k = min(batch, budget - used)
+            if k:
+                b, c = draw(name, k)
+                s = state[name]
+                s[1], s[2], s[3] = s[1] + b, s[2] + c, s[3] + k
+                used += k
+            if interval(name)[1] < -margin:
+                alive.remove(name)
+        if alive and state[alive[0]][3] >= least and interval(alive[0])[0] > -margin:
+            break
+    good = [n for n in state if state[n][3] >= least and interval(n)[0] > -margin]
+    return {"chosen": good[0] if good else None, "used": used, "counts": {n: tuple(s[1:]) for n, s in state.items()}}
+
+
+def trajectory_risk(outcomes: DataFrame, alpha: float = 0.05, delta: float = 0.05, least: int = 20) -> DataFrame:
+    """(n, risk, p_value, bound, certified) of degraded tasks (full succeeded, compressed did not); under `least` pairs nothing is certified."""
+    loss = (F.col("full_success") & ~F.col("compressed_success")).cast("double")
+    g = outcomes.agg(F.count("*").alias("n"), F.coalesce(F.avg(loss), F.lit(1.0)).alias("risk"))
+    few = F.col("n") < least
+    g = g.withColumn("p_value", F.when(few, 1.0).otherwise(hb_pvalue("risk", "n", F.lit(alpha)))).withColumn("bound", F.when(few, 1.0).otherwise(hb_upper("risk", "n", F.lit(delta))))
+    return g.withColumn("certified", F.col("p_value") <= delta)
+
+
+def split_coverage(losses: DataFrame, alpha: float, delta: float, reps: int = 100) -> DataFrame:
+    """Repeated half splits by trajectory: certify on one half, measure on the other: rep, level, realised risk and whether it is covered.
+
+    losses: traj_id, level_idx, level, loss. Losses are summed by trajectory and level first; the
+    splits then multiply those sums, not the turns, and are hash draws, so they repeat.
+    """
+    s = losses.groupBy("traj_id", "level_idx", "level").agg(F.sum("loss").alias("s"), F.count("*").alias("n"))
+    r = s.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("cal", F.pmod(F.xxhash64("traj_id", "rep"), F.lit(2)) == 0)
+    g = r.groupBy("rep", "level_idx", "level").agg(*[F.coalesce(F.sum(F.when(F.col("cal") == c, F.col(v))), F.lit(0)).alias(f"{v}{int(c)}") for v in ("s", "n") for c in (True, False)])
+    p = g.withColumn("p_value", hb_pvalue(F.when(F.col("n1") > 0, F.col("s1") / F.col("n1")).otherwise(1.0), F.col("n1"), F.lit(alpha)))
+    w = Window.partitionBy("rep").orderBy("level_idx").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("passed", F.min((F.col("p_value") <= delta).cast("int")).over(w) == 1)
+    best = p.where("passed").groupBy("rep").agg(F.max_by(F.struct("level", (F.col("s0") / F.greatest("n0", F.lit(1))).alias("risk")), "level_idx").alias("b"))
+    return best.select("rep", F.col("b.level").alias("level"), F.col("b.risk").alias("risk"), (F.col("b.risk") <= alpha).alias("covered"))

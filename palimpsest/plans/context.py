@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs as C
 from ..functions import text as T
-from ..operators import cost, line_ops, retrieval, salience, strategies, turn_ops
+from ..operators import cost, line_ops, live, retrieval, salience, strategies, turn_ops
 from ..sources import fixtures as X
 from .base import query
 
@@ -399,3 +399,38 @@ def lifted_volatile(spark, d):
 def tier1_blocks(spark, d):
     logs = X.event_logs(spark, d)
     return logs.select("block_id", C.udf(lambda t: C.lossless(t, "tool_output"))("text").alias("text"))
+
+
+def _messages(spark, d):
+    """Conversations with the event log of the user of the same number as a tool message at their end."""
+    c = X.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("pos"), "role", "text")
+    logs = X.event_logs(spark, d).select(F.split("block_id", ":")[0].alias("session"), F.lit(-1).cast("long").alias("pos"), F.lit("tool").alias("role"), "text")
+    return c.union(logs)
+
+
+@query()
+def live_messages(spark, d):
+    return live.compress_messages(_messages(spark, d)).select("session", "pos", "role", "handle", F.length("text").alias("before"), F.length("sent").alias("after"))
+
+
+@query("select count(*) as lost from events where false")
+def live_round_trip(spark, d):
+    """Originals that the live path can't give back: there are none."""
+    m = live.compress_messages(_messages(spark, d))
+    tools = m.where("role = 'tool'")
+    back = live.expand(tools.select("session", "pos", F.col("sent").alias("text")), live.restore_table(m))
+    return live.unrecoverable(tools.where("handle is not null").select("session", "pos", "text"), back, live.restore_table(m)).agg(F.count("*").alias("lost"))
+
+
+@query(f"""with {X.DOCS_SQL} select block_id, case when len(string_split(text, chr(10))) <= 3 then text else '[…' || (len(string_split(text, chr(10))) - 3) || ' earlier turns dropped…]' || chr(10) || chr(10) || array_to_string(list_slice(string_split(text, chr(10)), -3, -1), chr(10) || chr(10)) end as text from docs""")
+def last_entries(spark, d):
+    x = X.document_blocks(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    one = F.when(F.size(F.split("text", "\n\n", -1)) <= 3, F.replace("text", F.lit("\n\n"), F.lit("\n"))).otherwise(live.last_entries("text", 3))
+    return x.select("block_id", one.alias("text"))
+
+
+@query("""with e as (select event_id, '{"usage":{"input_tokens":' || floor(value)::bigint || ',"output_tokens":1}} {"output_tokens": ' || event_id || '}' body from events) select event_id, regexp_extract(body, '"input_tokens"\\s*:\\s*([0-9]+)', 1)::bigint as input_tokens, event_id as output_tokens from e""")
+def response_usage(spark, d):
+    e = X.table(spark, d, "events")
+    body = F.concat(F.lit('{"usage":{"input_tokens":'), F.floor("value").cast("string"), F.lit(',"output_tokens":1}} {"output_tokens": '), F.col("event_id").cast("string"), F.lit("}"))
+    return e.select("event_id", body.alias("body")).select("event_id", *live.usage("body"))

@@ -197,3 +197,36 @@ def decision_signatures(spark, d):
     e = X.table(spark, d, "events")
     body = F.to_json(F.struct(F.array(F.struct(F.lit("tool_use").alias("type"), F.col("event_type").alias("name"), F.struct(F.floor(F.col("value")).alias("v")).alias("input"))).alias("content")))
     return e.select("event_id", C.udf(C.decision_signature)(body).alias("signature"))
+
+
+@query(f"""with {LOSS_SQL}, g as (select source traj_id, doc_id turn_idx, 5 - level_idx rung_idx, level, loss = 0 same, comp_tok tokens from lo),
+s as (select traj_id, turn_idx, arg_min(level, rung_idx) filter (same) rung, arg_min(tokens, rung_idx) filter (same) tk, arg_min(level, rung_idx) top, arg_min(tokens, rung_idx) tt from g group by all),
+k as (select *, tk - tt gain, floor((1 - 0.9::double) * count(*) over (partition by traj_id) + 1e-6) budget, row_number() over (partition by traj_id order by greatest(tk - tt, 0) desc, turn_idx) rk from s)
+select traj_id, turn_idx, case when gain > 0 and rk <= budget then top else rung end as rung, (case when gain > 0 and rk <= budget then tt else tk end)::bigint as tokens, gain > 0 and rk <= budget as diverges from k""")
+def certified_fallback(spark, d):
+    g = losses(spark, d).select(F.col("source").alias("traj_id"), F.col("doc_id").alias("turn_idx"), (5 - F.col("level_idx")).alias("rung_idx"), F.col("level").alias("rung"), (F.col("loss") == 0).alias("same"), F.col("comp_tok").alias("tokens"))
+    return certify.certified_fallback(g, 0.9)
+
+
+@query("""with p as (select d.lang as name, dense_rank() over (order by d.lang) g, quality q, toxic t from labels join documents d using (doc_id)), c as (select name, any_value(g)::int as gate_recent, count(*) filter (q = 1 and t = 0) b, count(*) filter (q = 0 and t = 1) c, count(*) n from p group by name),
+s as (select *, (b - c) / n delta, sqrt(greatest(0, ((b + c) - (c - b) * (c - b) / n) / (n * n))) se from c)
+select name, gate_recent, n, round(delta, 6) as delta from s where delta - 1.959963984540054 * se > -0.05 order by gate_recent limit 1""")
+def operating_point(spark, d):
+    from pyspark.sql import Window
+
+    j = X.table(spark, d, "labels").join(X.table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    c = j.groupBy(F.col("lang").alias("name")).agg(F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("b"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("c"), F.count("*").alias("n"))
+    p = c.withColumn("gate_recent", F.dense_rank().over(Window.orderBy("name")))  # a row for each language
+    return certify.operating_point(p).select("name", "gate_recent", "n", F.round("delta", 6).alias("delta"))
+
+
+@query()
+def trajectory_risk(spark, d):
+    o = X.table(spark, d, "labels").select((F.col("quality") == 1).alias("full_success"), (F.col("toxic") == 0).alias("compressed_success"))
+    return certify.trajectory_risk(o, alpha=0.2)
+
+
+@query()
+def split_coverage(spark, d):
+    x = losses(spark, d).select(F.col("source").alias("traj_id"), "level_idx", "level", "loss")
+    return certify.split_coverage(x, 0.6, 0.05).groupBy("level").agg(F.count("*").alias("splits"), F.avg(F.col("covered").cast("double")).alias("coverage"))
