@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>", re.S)
 CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg textarea iframe".split())
@@ -22,12 +22,15 @@ CONTAINER = frozenset("body main article section div td blockquote".split())
 AUTO_CLOSE = {"p": frozenset("p div section article ul ol table blockquote pre h1 h2 h3 h4 h5 h6 hr form main nav header footer aside".split()), "li": frozenset(["li"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "option": frozenset(["option"])}
 
 
+DEEPEST = 64  # a path names no more levels
+
+
 class Node:
-    __slots__ = ("tag", "path", "parent", "text", "chars", "link_chars", "paragraphs", "order", "skip")
+    __slots__ = ("tag", "path", "depth", "begin", "end", "chars", "link_chars", "paragraphs", "order", "skip", "parts")
 
-    def __init__(self, tag, path, parent, order, skip):
-        self.tag, self.path, self.parent, self.order, self.skip = tag, path, parent, order, skip
-        self.text, self.chars, self.link_chars, self.paragraphs = [], 0, 0, 0
+    def __init__(self, tag, path, depth, order, skip):
+        self.tag, self.path, self.depth, self.order, self.skip = tag, path, depth, order, skip
+        self.begin = self.end = self.chars = self.link_chars = self.paragraphs = 0
 
 
 def general(tag: str, attrs: str) -> str:
@@ -40,58 +43,58 @@ def general(tag: str, attrs: str) -> str:
 
 
 def containers(page: str) -> list[Node]:
-    """The containers of a page with their own and their descendants' visible text; malformed mark-up is read as far as it goes."""
-    root = Node("", "", None, 0, False)
-    stack, found, at, raw = [root], [], 0, ""
-    links = 0
+    """The containers of a page; malformed mark-up is read as far as it goes.
+
+    Visible text goes into one list, of which each container is a range, so the work is linear in
+    the page however deep it nests. Levels beyond DEEPEST share the path of the one above.
+    """
+    parts: list[str] = []
+    stack, found, at, links, chars, link_chars = [Node("", "", 0, 0, False)], [], 0, 0, 0, 0
+    open_: dict[str, int] = {}
 
     def text(s: str) -> None:
-        top = stack[-1]
-        if not s or top.skip:
-            return
-        s = entities.unescape(s)
-        n = len(s.strip())
-        for node in stack[1:]:
-            if node.tag in CONTAINER:
-                node.text.append(s)
-                node.chars += n
-                if links:
-                    node.link_chars += n
+        nonlocal chars, link_chars
+        if s and not stack[-1].skip:
+            s = entities.unescape(s)
+            n = len(s.strip())
+            parts.append(s)
+            chars += n
+            if links:
+                link_chars += n
 
     def close(upto: int) -> None:
         nonlocal links
         while len(stack) > upto:
             node = stack.pop()
+            open_[node.tag] -= 1
             if node.tag == "a":
                 links -= 1
-            if node.tag in BLOCK:
-                for above in [*stack[1:], node]:
-                    if above.tag in CONTAINER:
-                        above.text.append("\n")
+            if node.tag in BLOCK and not node.skip:
+                parts.append("\n")
+            node.end, node.chars, node.link_chars = len(parts), chars - node.chars, link_chars - node.link_chars
             if node.tag == "p":
                 for above in reversed(stack):
                     if above.tag in CONTAINER:
                         above.paragraphs += 1
                         break
 
-    for m in TOKEN.finditer(page):
-        if raw:
-            if m[2] and m[1] and m[2].lower() == raw:
-                raw, at = "", m.end()
-            continue
+    while m := TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
+            if open_.get(tag):
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close(i)
             continue
         if tag in RAW:
-            raw = "" if m[3].endswith("/") else tag
+            if not m[3].endswith("/"):
+                end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
             continue
         while len(stack) > 1 and tag in AUTO_CLOSE.get(stack[-1].tag, ()):
             close(len(stack) - 1)
@@ -99,25 +102,24 @@ def containers(page: str) -> list[Node]:
             if tag in ("br", "hr"):
                 text("\n")
             continue
-        parent = stack[-1]
-        node = Node(tag, parent.path + "/" + general(tag, m[3]), parent, len(found), parent.skip or tag in SKIP or tag in ("head", "title"))
-        if tag in BLOCK:
-            for above in stack[1:]:
-                if above.tag in CONTAINER:
-                    above.text.append("\n")
+        top = stack[-1]
+        path = f"{top.path}/{general(tag, m[3])}" if top.depth < DEEPEST else top.path
+        node = Node(tag, path, top.depth + 1, len(found), top.skip or tag in SKIP or tag in ("head", "title"))
+        if tag in BLOCK and not node.skip:
+            parts.append("\n")
+        node.begin, node.chars, node.link_chars, node.parts = len(parts), chars, link_chars, parts
         stack.append(node)
+        open_[tag] = open_.get(tag, 0) + 1
         if tag == "a":
             links += 1
         if tag in CONTAINER and not node.skip:
             found.append(node)
-    if not raw:
-        text(page[at:])
+    text(page[at:])
     close(1)
     if not found and page:
-        everything = Node("body", "/", None, 0, False)
-        everything.text = [entities.unescape(TOKEN.sub("\n", page))] if not raw else []
-        everything.chars = sum(len(s.strip()) for s in everything.text)
-        found = [everything]
+        whole = Node("body", "/", 0, 0, False)
+        whole.end, whole.chars, whole.link_chars, whole.parts = len(parts), chars, link_chars, parts
+        found = [whole]
     return found
 
 
@@ -127,7 +129,7 @@ def points(node: Node) -> float:
 
 
 def tidy(node: Node) -> str:
-    lines = (" ".join(x.split()) for x in "".join(node.text).split("\n"))
+    lines = (" ".join(x.split()) for x in "".join(node.parts[node.begin : node.end]).split("\n"))
     return "\n".join(x for x in lines if x)
 
 

@@ -68,6 +68,17 @@ def test_damage_is_found(spark):
 PAGE = "<html><body><nav><a href=x>menu</a></nav><div class='wrap'><div class='c-{n} body'><p>First &amp; long paragraph of the text {n}, with words.<p>Second one, just as long as the first.</div><div class=side><a>l1</a><a>l2</a></div></div><script>var x='<p>no</p>'</script></body></html>"
 
 
+def test_odd_pages_are_linear():
+    import time
+
+    t = time.time()
+    for page in ("<div>" * 60_000 + "x", "<a \"'" * 60_000, "<" * 300_000, "</b>" * 100_000, "<!--" * 50_000, "<div><p>" * 30_000 + "</div>" * 30_000, "<script>" * 60_000, "<b><div>x" * 30_000 + "</b>" * 30_000):
+        html_extract.containers(page)
+    assert time.time() - t < 60
+    nodes = html_extract.containers("<body><div>a<script>if (a<b && c=='</p>') {}</script>b<br>c<nav>no</nav></div>d<style>x")
+    assert [html_extract.tidy(n) for n in nodes] == ["ab\nc\nd", "ab\nc"] and nodes[0].chars == 4
+
+
 def test_consensus(spark):
     rows = [(i, f"https://U@Example.org:80/{i}", PAGE.format(n=i)) for i in range(6)]
     rows += [(50, "http://example.org/", "<div class='other'><p>Something else that is longer than any of the other texts on this host, by far indeed.</div>"), (51, None, "<p>no host"), (52, "x", None), (53, "http://e.com", ""), (54, "http://e.com", "<div><div <p>>"), (54, "http://e.com", "plain text"), (None, "http://example.org/z", PAGE.format(n=7))]
