@@ -20,7 +20,7 @@ def work_dir(spark: SparkSession) -> str:
 
     Where it is unset (tests, one machine) a folder beside the warehouse is used.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
     return base.rstrip("/")
