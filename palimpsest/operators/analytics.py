@@ -195,3 +195,33 @@ def first_writer(restore: DataFrame, keep: int = 500, ttl: float = 14 * 86400.0,
     if now is not None:
         f = f.where(F.col("ts") >= now - ttl)
     return f.orderBy(F.desc("ts"), "handle").limit(keep)
+
+
+def dissect(requests: DataFrame, shadow: DataFrame, restore: DataFrame, before: float = 1.0, after: float = 300.0) -> DataFrame:
+    """One row for each session: its span, requests, tokens, distinct folded blocks, those that can be restored, and shadow rows in its span.
+
+    requests: session, epoch, tokens_saved, compressible_tokens, h; restore: h; shadow: epoch, changed.
+    Shadow rows carry no session, so they join on time: both sides are spread over hours and joined
+    on the hour, then held to the span.
+    """
+    s = requests.groupBy("session").agg(
+        F.min("epoch").alias("started"), F.max("epoch").alias("ended"), F.count("*").alias("requests"), F.sum("compressible_tokens").alias("baseline"), F.sum("tokens_saved").alias("saved")
+    )
+    blocks = requests.select("session", "h").distinct().join(restore.select("h").distinct().withColumn("known", F.lit(1)), "h", "left")
+    b = blocks.groupBy("session").agg(F.count("*").alias("blocks"), F.coalesce(F.sum("known"), F.lit(0)).alias("restorable"))
+    span = s.select("session", (F.col("started") - before).alias("lo"), (F.col("ended") + after).alias("hi"))
+    span = span.withColumn("hour", F.explode(F.sequence(F.floor(F.col("lo") / 3600), F.floor(F.col("hi") / 3600))))
+    hourly = shadow.withColumn("hour", F.floor(F.col("epoch") / 3600))
+    hit = span.join(hourly, "hour").where("epoch between lo and hi").groupBy("session").agg(F.count("*").alias("shadow_rows"), F.count_if("changed").alias("shadow_changed"))
+    out = s.join(b, "session", "left").join(hit, "session", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("blocks", "restorable", "shadow_rows", "shadow_changed")})
+
+
+def headlines(sessions_: DataFrame) -> DataFrame:
+    """Plain sentences on what stands out in dissected sessions."""
+    share = ratio(F.col("saved"), F.col("baseline"))
+    said = F.array_compact(F.array(
+        F.when(share >= 0.3, F.format_string("%.0f%% of the tokens were saved", share * 100)), F.when(F.col("restorable") < F.col("blocks"), F.format_string("%d blocks can't be restored", F.col("blocks") - F.col("restorable"))),
+        F.when(F.col("shadow_changed") > 0, F.format_string("%d of %d shadowed decisions changed", F.col("shadow_changed"), F.col("shadow_rows"))),
+    ))
+    return sessions_.select("session", F.explode(said).alias("headline"))

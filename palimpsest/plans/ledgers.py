@@ -206,3 +206,17 @@ def savings_tumbling(spark, d):
 select k as key, min(ts) as start, max(ts) + interval '4 hours' as "end", count(*) as requests from s group by k, sn""")
 def activity_session(spark, d):
     return online.activity_sessions(requests(spark, d).select(F.col("session").alias("key"), "ts"))
+
+
+@query("""with r as (select user_id::varchar as session, epoch(ts)::double e, floor(value)::bigint v, (event_id % 97) h from events), s as (select session, min(e) started, max(e) ended, count(*) requests, sum(v + 100)::bigint baseline, sum(floor(v / 2))::bigint saved from r group by session),
+b as (select session, count(distinct h) blocks, count(distinct h) filter (h % 2 = 0) restorable from r group by session), w as (select epoch(ts)::double e, event_type = 'error' c from events where event_id % 10 = 0)
+select s.session, started, ended, requests, baseline, saved, blocks, restorable, (select count(*) from w where e between started - 1 and ended + 300) as shadow_rows, (select count(*) from w where c and e between started - 1 and ended + 300) as shadow_changed from s join b using (session)""")
+def session_dissection(spark, d):
+    r = requests(spark, d).withColumn("epoch", F.unix_micros("ts") / 1e6)
+    shadow = r.where("seq % 10 = 0").select("epoch", (F.col("event_type") == "error").alias("changed"))
+    return A.dissect(r, shadow, r.where("cast(h as int) % 2 = 0").select("h"))
+
+
+@query()
+def session_headlines(spark, d):
+    return A.headlines(session_dissection(spark, d))

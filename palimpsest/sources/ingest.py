@@ -137,3 +137,26 @@ def agent_log(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_call = Window.partitionBy("session", "tool_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     named = r.withColumn("tool", F.last(F.when(F.col("type") == "call", F.col("tool")), ignorenulls=True).over(by_call))
     return r.where("is_human").select("session", "seq", "turn", "text"), named.where("type = 'result'").select("session", "seq", "turn", "tool_id", "tool", "text")
+
+
+RUN = "instance_id string, system string, problem_statement string, trajectory array<struct<action string, observation string>>, info struct<resolved boolean, exit_status string>"
+
+
+def read_agent_runs(spark: SparkSession, path: str, cut: int = 2000) -> DataFrame:
+    """Decision points of code-agent runs: (traj_id, turn_idx, history, observation, verb, target, resolved).
+
+    Step i is the decision; the history holds each earlier action with the first `cut` characters of
+    its observation, and the observation before the step is what it answers to. The target is the
+    action's first argument with a slash or a dot, else its first.
+    """
+    r = spark.read.schema(RUN).option("multiLine", True).json(path)
+    s = r.select(F.col("instance_id").alias("traj_id"), "problem_statement", F.col("info.resolved").alias("resolved"), F.posexplode("trajectory").alias("turn_idx", "s"))
+    w = Window.partitionBy("traj_id").orderBy("turn_idx")
+    seen = F.collect_list(F.concat(F.coalesce("s.action", F.lit("")), F.lit("\n"), F.substring(F.coalesce("s.observation", F.lit("")), 1, cut))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    words = F.filter(F.split(F.trim("s.action"), r"\s+"), lambda x: x != "")
+    args = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    pathlike = F.filter(args, lambda x: x.rlike(r"[/.]"))
+    return s.select(
+        "traj_id", "turn_idx", F.array_join(seen, "\n\n").alias("history"), F.coalesce(F.lag("s.observation").over(w), "problem_statement").alias("observation"),
+        F.get(words, F.lit(0)).alias("verb"), F.coalesce(F.get(pathlike, F.lit(0)), F.get(args, F.lit(0))).alias("target"), "resolved",
+    )

@@ -160,3 +160,11 @@ def test_dialogues_and_logs(spark):
 def test_restore_store(spark):
     r = spark.createDataFrame([("h", "first", 1.0), ("h", "second", 2.0), ("g", "x", 3.0), ("old", "y", -9e9)], "handle string, text string, ts double")
     assert {(x["handle"], x["text"]) for x in analytics.first_writer(r, now=10.0).collect()} == {("h", "first"), ("g", "x")}
+
+
+def test_agent_runs(spark, tmp_path):
+    run = {"instance_id": "i", "problem_statement": "p", "trajectory": [{"action": "open -n src/a.py", "observation": "o" * 3000}, {"action": "ls", "observation": "x"}, {"action": "", "observation": None}], "info": {"resolved": True}}
+    (tmp_path / "r.json").write_text(json.dumps(run))
+    got = ingest.read_agent_runs(spark, str(tmp_path)).orderBy("turn_idx").collect()
+    assert [(r["verb"], r["target"], r["resolved"]) for r in got] == [("open", "src/a.py", True), ("ls", None, True), (None, None, True)]
+    assert got[0]["observation"] == "p" and got[0]["history"] == "" and got[2]["history"] == "open -n src/a.py\n" + "o" * 2000 + "\n\nls\nx"
