@@ -41,37 +41,42 @@ def resolve_prices(rows: DataFrame, model: str = "model") -> DataFrame:
     return rows.join(best, model, "left")
 
 
-def simulate(turns: DataFrame, strategy: str, caching: bool = True, model: str = "claude-opus-4-8", output_tokens: int = 0, cached_text: bool = False) -> DataFrame:
-    """(traj_id, turn_idx, strategy, caching, read_tok, write_tok, fresh_tok, out_tok, dollars), one row for each turn.
+def bill(turns: DataFrame, model: str = "claude-opus-4-8", output_tokens: int = 0) -> DataFrame:
+    """(strategy, traj_id, turn_idx, caching, read_tok, write_tok, fresh_tok, out_tok, dollars): two rows for each turn, with and without caching.
 
-    turns: traj_id, turn_idx, pos, stability, text. Tokens of the common prefix with the turn before
-    are read from the cache; past it a block that isn't volatile is written the first time its bytes
-    are paid for and read afterwards, and a volatile one is fresh. Without caching all are fresh.
-    Everything is keyed by traj_id, so the blocks are exchanged once.
+    turns: strategy, traj_id, turn_idx, pos, stability, text. Tokens of the common prefix with the
+    turn before are read from the cache; past it a block that isn't volatile is written the first
+    time its bytes are paid for and read afterwards, and a volatile one is fresh. Without caching
+    all are fresh. The first window is by trajectory alone, and its exchange serves all that follow;
+    hashes and counts travel, texts don't.
     """
     price, out_price = (x / 1e6 for x in PRICES[model])
-    b = turns.select("traj_id", "turn_idx", "pos", "stability", T.token_count("text").alias("tok"), F.sha2("text", 256).alias("h"))
-    order = Window.partitionBy("traj_id", "turn_idx").orderBy("pos")
-    b = b.withColumn("at", F.row_number().over(order))
-    if caching:
-        before = Window.partitionBy("traj_id", "at").orderBy("turn_idx")
-        same = (F.lag("h").over(before) == F.col("h")) & (F.lag("turn_idx").over(before) == F.col("prev"))
-        # the turn before is the one that comes before in the trajectory, whatever its number
-        known = b.select("traj_id", "turn_idx").distinct().withColumn("prev", F.lag("turn_idx").over(Window.partitionBy("traj_id").orderBy("turn_idx")))
-        b = b.join(known, ["traj_id", "turn_idx"])
-        b = b.withColumn("same", F.coalesce(same, F.lit(False)).cast("int"))
-        b = b.withColumn("lcp", F.min("same").over(Window.partitionBy("traj_id", "turn_idx").orderBy("at")))
-        payable = (F.col("lcp") == 0) & (F.col("stability") != "volatile")
-        nth = F.row_number().over(Window.partitionBy("traj_id", "h", "payable").orderBy("turn_idx", "at"))
-        b = b.withColumn("payable", payable).withColumn("nth", nth)
-        how = F.when(F.col("lcp") == 1, "read").when(~F.col("payable"), "fresh").when(F.col("nth") == 1, "write").otherwise("read")
-    else:
-        how = F.lit("fresh")
-    b = b.withColumn("how", how)
-    tok = lambda k: F.coalesce(F.sum(F.when(F.col("how") == k, F.col("tok"))), F.lit(0)).cast("long").alias(f"{k}_tok")
-    g = b.groupBy("traj_id", "turn_idx").agg(tok("read"), tok("write"), tok("fresh"))
+    key = ("strategy", "traj_id")
+    b = turns.select(*key, "turn_idx", "pos", "stability", T.token_count("text").alias("tok"), F.sha2("text", 256).alias("h"))
+    # the turn before is the one that comes before in the trajectory, whatever its number
+    b = b.withColumn("nth_turn", F.dense_rank().over(Window.partitionBy(*key).orderBy("turn_idx")))
+    b = b.withColumn("at", F.row_number().over(Window.partitionBy(*key, "nth_turn").orderBy("pos")))
+    before = Window.partitionBy(*key, "at").orderBy("nth_turn")
+    same = (F.lag("h").over(before) == F.col("h")) & (F.lag("nth_turn").over(before) == F.col("nth_turn") - 1)
+    b = b.withColumn("same", F.coalesce(same, F.lit(False)).cast("int"))
+    b = b.withColumn("lcp", F.min("same").over(Window.partitionBy(*key, "nth_turn").orderBy("at")))
+    b = b.withColumn("payable", (F.col("lcp") == 0) & (F.col("stability") != "volatile"))
+    nth = F.row_number().over(Window.partitionBy(*key, "h", "payable").orderBy("nth_turn", "at"))
+    how = F.when(F.col("lcp") == 1, "read").when(~F.col("payable"), "fresh").when(F.col("nth") == 1, "write").otherwise("read")
+    b = b.withColumn("nth", nth).withColumn("how", how)
+    tok = lambda k: F.coalesce(F.sum(F.when(F.col("how") == k, F.col("tok"))), F.lit(0)).cast("long")
+    g = b.groupBy(*key, "turn_idx").agg(tok("read").alias("r"), tok("write").alias("w"), tok("fresh").alias("f"))
+    zero = F.lit(0).cast("long")
+    row = lambda c, r, w, f: F.struct(F.lit(c).alias("caching"), r.alias("read_tok"), w.alias("write_tok"), f.alias("fresh_tok"))
+    r, w, f = F.col("r"), F.col("w"), F.col("f")
+    g = g.select(*key, "turn_idx", F.explode(F.array(row(True, r, w, f), row(False, zero, zero, r + w + f))).alias("x")).select(*key, "turn_idx", "x.*")
     dollars = F.col("read_tok") * (price * READ) + F.col("write_tok") * (price * WRITE) + F.col("fresh_tok") * price + output_tokens * out_price
-    return g.select("traj_id", "turn_idx", F.lit(strategy).alias("strategy"), F.lit(caching).alias("caching"), "read_tok", "write_tok", "fresh_tok", F.lit(output_tokens).cast("long").alias("out_tok"), dollars.alias("dollars"))
+    return g.withColumn("out_tok", F.lit(output_tokens).cast("long")).withColumn("dollars", dollars)
+
+
+def simulate(turns: DataFrame, strategy: str, caching: bool = True, model: str = "claude-opus-4-8", output_tokens: int = 0) -> DataFrame:
+    """bill() of one strategy's turns, with or without caching."""
+    return bill(turns.withColumn("strategy", F.lit(strategy)), model, output_tokens).where(F.col("caching") == caching)
 
 
 def no_bigger(new: Column, old: Column) -> Column:

@@ -87,9 +87,10 @@ select strategy, caching, sum(read_tok)::bigint as read_tok, sum(write_tok)::big
  round(sum(read_tok) * 5e-6 * 0.10 + sum(write_tok) * 5e-6 * 1.25 + sum(fresh_tok) * 5e-6, 6) as dollars from u group by all"""
 
 
-def _costs(spark, d, names, caching=(True, False)):
+def _costs(spark, d, names):
     t = X.conversation_turns(spark, d)
-    return reduce(lambda a, b: a.unionByName(b), [cost.simulate(strategies.apply(n, t), n, c) for n in names for c in caching])
+    cols = ["traj_id", "turn_idx", "pos", "stability", "text"]
+    return cost.bill(reduce(lambda a, b: a.unionByName(b), [strategies.apply(n, t).select(F.lit(n).alias("strategy"), *cols) for n in names]))
 
 
 def _totals(rows):
