@@ -32,7 +32,8 @@ LIFTED = re.compile(
 
 
 def handle(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()[:8]
+    whole = hashlib.sha256(text.encode("utf-8"))
+    return whole.hexdigest()[:8]
 
 
 class _Unsafe(ValueError):
@@ -158,7 +159,7 @@ def outcome(lines: list[str]) -> str:
     return "red" if any(_RED.search(x) for x in verdicts) else "green" if verdicts else "unknown"
 
 
-def digest(text: str, head: int = 3, tail: int = 1, max_repeats: int | None = None, also: Callable[[list[str]], set[int]] | None = None) -> str:
+def digest(text: str, max_repeats: int | None = None, head: int = 3, tail: int = 1, also: Callable[[list[str]], set[int]] | None = None) -> str:
     """Ends, answers and the first alarms of each shape; dropped runs as markers. Texts of few lines stay."""
     lines = text.splitlines()
     n = len(lines)
@@ -212,16 +213,22 @@ def lift(text: str) -> tuple[str, list[str]]:
 
 
 def put_back(text: str, values: list[str]) -> str:
-    for i, v in enumerate(values, 1):
-        text = text.replace(f"⟦V{i}⟧", v, 1)
+    for n in range(len(values)):
+        text = text.replace(f"⟦V{n + 1}⟧", values[n], 1)
     return text
 
 
+def _parsed(source: str) -> ast.Module | None:
+    try:
+        return ast.parse(source)
+    except (RecursionError, MemoryError, ValueError, SyntaxError):
+        return None
+
+
 def code_skeleton(text: str) -> str | None:
     """Python with the bodies of outermost functions elided; None if it doesn't parse, has none or isn't shorter."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
+    tree = _parsed(text)
+    if tree is None:
         return None
     lines, cuts, todo = text.splitlines(), {}, list(ast.iter_child_nodes(tree))
     while todo:

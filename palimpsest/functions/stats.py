@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import statistics
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -19,7 +20,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     if x >= (a + 1) / (a + b + 2):
         return 1.0 - incomplete_beta(b, a, 1.0 - x)
     tiny = 1e-300
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    front = math.exp(math.lgamma(a + b) - (math.lgamma(b) + math.lgamma(a)) + a * math.log(x) + b * math.log1p(-x)) / a
     guard = lambda v: v if abs(v) >= tiny else tiny
     c, d = 1.0, 1.0 / guard(1.0 - (a + b) * x / (a + 1))
     value = d
@@ -138,7 +139,7 @@ def tight_bound(losses: Sequence[float], delta: float, method: str = "auto") ->
         return betting_bound(losses, delta)
     if method == "hb" or method == "auto" and all(x in (0, 1) for x in losses):
         return hb_bound(risk, n, delta)
-    var = sum((x - risk) ** 2 for x in losses) / (n - 1) if n > 1 else 0.0
+    var = statistics.variance(losses) if n > 1 else 0.0
     return bernstein_bound(risk, var, n, delta)
 
 
@@ -147,7 +148,7 @@ def mcnemar_exact(b: int, c: int) -> float:
     return 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
 
 
-def bootstrap_ci(values: Sequence[float], rounds: int = 2000, alpha: float = 0.05, seed: int = 1234) -> tuple[float, float, float]:
+def bootstrap_ci(values: Sequence[float], seed: int = 1234, rounds: int = 2000, alpha: float = 0.05) -> tuple[float, float, float]:
     """(mean, low, high) by resampling the ordered values with a seeded Mersenne twister."""
     if not values:
         return 0.0, 0.0, 0.0

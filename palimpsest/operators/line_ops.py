@@ -48,7 +48,7 @@ def classified(blocks: DataFrame) -> DataFrame:
     return x.withColumn("outcome", F.when(red == 1, "red").when(some == 1, "green").otherwise("unknown"))
 
 
-def digest_lines(blocks: DataFrame, head: int = 3, tail: int = 1, max_repeats: int | None = None) -> DataFrame:
+def digest_lines(blocks: DataFrame, max_repeats: int | None = None, head: int = 3, tail: int = 1) -> DataFrame:
     """classified() lines and whether the digest keeps each.
 
     Kept: the first `head` and last `tail` lines, answers (decisions and verdicts), and of the other
