@@ -82,8 +82,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     is the one to keep. Documents with equal tokens are joined first, by two 64-bit hashes, so that
     thousands of copies cost one signature. The others go into TREES sorted orders of their
     signatures, DEPTH values each: those that share the first LEAST_DEPTH values of an order form a
-    region, which is searched deeper where it is dense. Pairs that the whole signature finds alike
-    are verified by exact Jaccard.
+    region. Pairs of a region that the whole signature finds alike are verified by exact Jaccard;
+    a large region is searched through leaders and deeper orders first, then all its pairs that
+    aren't joined yet are compared, so recall doesn't depend on a region's size.
 
     Null doc_id or null text, and texts without a token, are in no group. Rows that repeat a doc_id
     are one document (its texts are all searched). Other columns are ignored. An empty table gives
@@ -95,11 +96,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     copies = shared.written(sigs.drop("sig").join(copies, ["h1", "h2"]).where("node <> rep").select("node", "rep").distinct(), "copy")
     reps = sigs.join(shared.small(copies.select("node").distinct(), 16), "node", "left_anti")
     reps = reps.select("node", "sig")
-    rows = regions.shared_only(forest(reps)).join(reps, "node")
-    edges = shared.written(regions.bucket_edges(rows, k, DEPTH - LEAST_DEPTH, threshold - SLACK), "edge")
-    ids = edges.select(F.col("a").alias("doc_id")).union(edges.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(shared.small(ids, 16), "doc_id", "left_semi")
-    sure = regions.verified(edges, shingle_sets(wanted, shingle), threshold)
+
+    def sets_of(edges: DataFrame) -> DataFrame:
+        ids = edges.select(F.col("a").alias("doc_id")).union(edges.select(F.col("b").alias("doc_id"))).distinct()
+        return shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(shared.small(ids, 16), "doc_id", "left_semi"), shingle)
+
+    sure = regions.alike(regions.shared_only(forest(reps)), reps, sets_of, k, DEPTH - LEAST_DEPTH, threshold - SLACK, threshold)
     found = shared.components(sure.union(copies.select(F.col("rep").alias("a"), F.col("node").alias("b"))))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))
 

@@ -27,3 +27,9 @@ def messy(spark, rows):
 def odd_rows():
     long = prose(77, 30_000)
     return [(1, None), (None, "a text without an id"), (2, ""), (3, "   \n\t "), (4, "same words here for all of us"), (4, "same words here for all of us"), (5, "same words here for all of us"), (6, long), (7, long + " end"), (8, "…!?»"), (9, "ß İ É")]
+
+
+def variants(pairs: int, template: int, own: int, differ: int) -> list[tuple[int, str]]:
+    """Pairs of texts (2p, 2p + 1): words of one template, words of the pair, and `differ` words of each text."""
+    base = [f"t{i}" for i in range(template)]
+    return [(2 * p + q, " ".join(base + [f"p{p}x{i}" for i in range(own)] + [f"d{p}y{q}z{i}" for i in range(differ)])) for p in range(pairs) for q in (0, 1)]
