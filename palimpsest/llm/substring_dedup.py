@@ -104,13 +104,15 @@ def repeated_paragraphs(docs: DataFrame, threshold: float = THRESHOLD, least_wor
     # sort-free aggregation: only fixed-width values are kept by node
     reps_at = every.groupBy("node").agg(F.min(F.struct("doc_id", "para")).alias("at"), F.count("*").alias("n"))
     reps = every.join(reps_at.select("node", "at.doc_id", "at.para"), ["node", "doc_id", "para"]).select("node", "sig", "doc_id")
-    rows_ = regions.shared_only(banded(reps, bands, rows)).distinct().join(reps.select("node", "sig"), "node")
-    edges = shared.written(regions.bucket_edges(rows_, k, 0, threshold - SLACK), "edge")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    holders = reps.select("node", "doc_id").join(shared.small(nodes, 16), "node", "left_semi").select("doc_id").distinct()
-    wanted = docs.join(shared.small(holders, 16), "doc_id", "left_semi")
-    sets = paragraphs(wanted, k, least_words, shingle, "set").join(shared.small(nodes, 16), "node", "left_semi").dropDuplicates(["node"])
-    found = shared.components(regions.verified(edges, sets, threshold))
+
+    def sets_of(edges: DataFrame) -> DataFrame:
+        nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+        holders = reps.select("node", "doc_id").join(shared.small(nodes, 16), "node", "left_semi").select("doc_id").distinct()
+        wanted = docs.join(shared.small(holders, 16), "doc_id", "left_semi")
+        return paragraphs(wanted, k, least_words, shingle, "set").join(shared.small(nodes, 16), "node", "left_semi").dropDuplicates(["node"])
+
+    buckets = regions.shared_only(banded(reps, bands, rows))
+    found = shared.components(regions.alike(buckets, reps.select("node", "sig"), sets_of, k, 0, threshold - SLACK, threshold))
     cluster = F.coalesce("root", "node")
     where = every.select("doc_id", "para", "words", "node").distinct()
     many = reps_at.join(found, "node", "left").groupBy(cluster.alias("cluster")).agg(F.min("at").alias("first"), F.sum("n").alias("n")).where("n > 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import near_dedup
+from palimpsest.llm import near_dedup, substring_dedup
 
 from .helpers import variants
 
@@ -17,3 +17,10 @@ def test_near_in_a_dense_template_region(spark):
     got = {r["doc_id"]: r["group_id"] for r in near_dedup.near_duplicates(docs).collect()}
     assert joined(got, 400) >= 0.97
     assert all(i // 2 == g // 2 for i, g in got.items())
+
+
+def test_lines_in_a_dense_bucket(spark):
+    docs = spark.createDataFrame(variants(300, 230, 22, 48), "doc_id long, text string")  # 0.62 by the template, 0.72 in a pair
+    got = {r["doc_id"]: r["first_doc_id"] for r in substring_dedup.repeated_paragraphs(docs).collect()}
+    assert joined(got, 300) >= 0.97
+    assert all(i // 2 == f // 2 for i, f in got.items())
