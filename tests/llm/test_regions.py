@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import near_dedup, substring_dedup
+from palimpsest.llm import near_dedup, regions, substring_dedup
 
 from .helpers import variants
 
@@ -24,3 +24,16 @@ def test_lines_in_a_dense_bucket(spark):
     got = {r["doc_id"]: r["first_doc_id"] for r in substring_dedup.repeated_paragraphs(docs).collect()}
     assert joined(got, 300) >= 0.97
     assert all(i // 2 == f // 2 for i, f in got.items())
+
+
+def test_bucket_beyond_what_is_held(spark, monkeypatch):
+    """Parts of 40 rows, blocks of 64: pairs whose rows lie in different parts are found."""
+    monkeypatch.setattr(regions, "HELD", 40)
+    monkeypatch.setattr(regions, "BLOCK", 64, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        docs = spark.createDataFrame(variants(150, 230, 22, 48), "doc_id long, text string")
+        got = {r["doc_id"]: r["first_doc_id"] for r in substring_dedup.repeated_paragraphs(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert joined(got, 150) >= 0.97
