@@ -84,7 +84,10 @@ class Network:
             for part in np.array_split(which, max(1, len(which) // 256)):
                 for i in part:
                     x = raw[off[i] : off[i + 1]].astype(np.uint64)
-                    h = np.zeros(max(0, len(x) - n + 1), np.uint64)
+                    if len(x) < n:
+                        yield i, np.zeros(0, np.uint64)
+                        continue
+                    h = np.zeros(len(x) - n + 1, np.uint64)
                     for k in range(n):
                         h = (h << np.uint64(8)) | x[k : len(x) - n + 1 + k]
                     yield i, np.unique(h)
@@ -185,17 +188,21 @@ class Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Network:
-    """Fit on a bounded sample: the most_rows labelled documents first by a hash of doc_id, of texts up to most_bytes.
+    """Fit on a bounded sample: of the labelled documents whose text has at most most_bytes, the most_rows first by a hash of doc_id.
 
-    Good means quality 1 and toxic 0; a label with a null doc_id, quality or toxic isn't used, nor
-    is an id with labels that contradict each other.
+    Both bounds together limit what the driver holds. Good means quality 1 and toxic 0; a label with
+    a null doc_id, quality or toxic isn't used, nor is an id with labels that contradict each other
+    or without a document. A null text isn't used, an empty or very short one is; of rows that
+    repeat a doc_id the text first in order counts. Without labels the network keeps everything.
     """
     lab = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(
         F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"), F.max(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("also")
     ).where("good = also")
-    sample = lab.orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).where(F.octet_length("text") <= most_bytes)
-    got = rows.select("label_id", "text", "good").dropDuplicates(["label_id"]).toPandas().sort_values("label_id")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").where(F.octet_length("text") <= most_bytes)
+    there = held.select("doc_id").join(lab, F.col("doc_id") == F.col("label_id")).select("label_id", "good").distinct()
+    sample = there.orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows)
+    rows = held.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    got = rows.groupBy("label_id").agg(F.min("text").alias("text"), F.first("good").alias("good")).toPandas().sort_values("label_id")
     off, raw = tk.buffers(tk.plain(pa.array(got["text"].tolist(), pa.string())))
     return Network().fit(off, raw, got["good"].to_numpy().astype(bool))
 
