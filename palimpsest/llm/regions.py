@@ -195,13 +195,42 @@ def shared_only(rows: DataFrame) -> DataFrame:
     return shared.written(rows.withColumn("in_bucket", F.count("*").over(Window.partitionBy("bucket"))).where("in_bucket > 1").distinct(), "bucket")
 
 
-def verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def stars(rows: DataFrame) -> DataFrame:
+    """(bucket, lead, node): each node but the least of its bucket, with that one; buckets of one node give none.
+
+    rows: bucket, node. Buckets stream by in order, so that a task holds one batch however large they are.
+    """
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # bucket, lead and node of the row before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            fresh = np.ones(len(bucket), bool)
+            fresh[1:] = bucket[1:] != bucket[:-1]
+            other = fresh.copy()
+            other[1:] |= node[1:] != node[:-1]
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(bucket)), 0))
+            lead = node[begin]
+            if last is not None and last[0] == bucket[0]:
+                lead = np.where(begin == 0, last[1], lead)
+                other[0] = node[0] != last[2]
+            last = bucket[-1], lead[-1], node[-1]
+            some = other & (node != lead)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[some]), pa.array(lead[some]), pa.array(node[some])], names=["bucket", "lead", "node"])
+
+    ordered = rows.select("bucket", "node").repartition("bucket").sortWithinPartitions("bucket", "node")
+    return ordered.mapInArrow(link, "bucket long, lead long, node long")
+
+
+def verified(edges: DataFrame, sets: DataFrame, threshold: float, kind: type = np.uint32) -> DataFrame:
     """Edges (a, b) whose shingle sets (node, set) have an exact Jaccard of at least the threshold."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = pa.array([tk.jaccard(p, q) >= threshold for p, q in zip(x, y, strict=True)], pa.bool_())
+            ok = pa.array([tk.jaccard(p, q, kind) >= threshold for p, q in zip(x, y, strict=True)], pa.bool_())
             yield batch.select([0, 1]).filter(ok)
 
     a = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))

@@ -189,9 +189,9 @@ def sets(shingles: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [np.unique(x[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Exact Jaccard of two sets() values; 0 if either is empty."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+def jaccard(a: bytes, b: bytes, kind: type = np.uint32) -> float:
+    """Exact Jaccard of two sorted sets of hashes; 0 if either is empty."""
+    x, y = np.frombuffer(a, kind), np.frombuffer(b, kind)
     if not len(x) or not len(y):
         return 0.0
     both = len(np.intersect1d(x, y, assume_unique=True))
