@@ -19,7 +19,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each passage that repeats, the first occurrence stays; the others are cut out of their texts."""
-    return substring_dedup.without_repeats(docs, substring_dedup.repeated_paragraphs(docs))
+    return substring_dedup.without_repeats(docs, substring_dedup.repeated_passages(docs))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
