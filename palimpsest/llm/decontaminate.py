@@ -103,7 +103,7 @@ def _parts(benchmark: DataFrame, n: int, least_item: int):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least_run: int = LEAST_RUN, least_cover: float = LEAST_COVER, least_item: int = LEAST_ITEM) -> DataFrame:
-    """Every leak: (doc_id, item_id, grams, covered, longest_run, item_tokens, doc_tokens, spans).
+    """Every leak: (doc_id, text_hash, item_id, grams, covered, longest_run, item_tokens, doc_tokens, spans).
 
     Tokens are those of textkernels, in lower case. A window of n tokens of a document that is
     also in an item is a hit; hashes find it and the tokens themselves verify it. An item of fewer
@@ -114,12 +114,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least_run: int
 
     The benchmark goes to the executors in parts of at most PART_BYTES, each with its own scan.
     Null doc_id, item_id or text match nothing, as do empty texts; several texts of one item_id are
-    versions of it, the best match counts. Repeated document rows give repeated rows. An empty
-    table on either side gives an empty result.
+    versions of it, the best match counts. text_hash is xxhash64(text), which tells apart texts under
+    one doc_id; repeated document rows give repeated rows. Other columns are ignored. An empty table
+    on either side gives an empty result.
     """
-    ddl = "doc_id long, item_id long, grams long, covered long, longest_run long, item_tokens long, doc_tokens long, spans array<array<long>>"
+    ddl = "doc_id long, text_hash long, item_id long, grams long, covered long, longest_run long, item_tokens long, doc_tokens long, spans array<array<long>>"
     spark, out = docs.sparkSession, None
-    src = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
+    src = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").where("doc_id is not null and text is not null")
     for grams in _parts(benchmark, n, least_item):
         sent = spark.sparkContext.broadcast(grams)
 
@@ -127,13 +128,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least_run: int
             g = sent.value
             for batch in batches:
                 rows: list[tuple] = []
-                ids, texts = batch.column(0), tk.plain(batch.column(1))
+                ids, hs, texts = batch.column(0), batch.column(1), tk.plain(batch.column(2))
                 for a, b in tk.slices(texts):
                     for i in np.flatnonzero(g.suspects(tk.tokenise(texts.slice(a, b - a)))):
                         leaks, spans, words = g.leaks(texts[a + i].as_py(), least_run, least_cover)
-                        rows += [(ids[a + i].as_py(), *r, words, [list(s) for s in spans]) for r in leaks]
-                kinds = [pa.int64()] * 7 + [pa.list_(pa.list_(pa.int64()))]
-                names = ["doc_id", "item_id", "grams", "covered", "longest_run", "item_tokens", "doc_tokens", "spans"]
+                        rows += [(ids[a + i].as_py(), hs[a + i].as_py(), *r, words, [list(s) for s in spans]) for r in leaks]
+                kinds = [pa.int64()] * 8 + [pa.list_(pa.list_(pa.int64()))]
+                names = ["doc_id", "text_hash", "item_id", "grams", "covered", "longest_run", "item_tokens", "doc_tokens", "spans"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
         hits = src.mapInArrow(scan, ddl)
@@ -142,9 +143,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least_run: int
 
 
 def merged_spans(leaks: DataFrame) -> DataFrame:
-    """One row for each leaking document: (doc_id, items, spans merged over all leaks, leaked share of tokens)."""
-    flat = leaks.select("doc_id", "item_id", "doc_tokens", "spans").distinct()
-    per = flat.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("doc_tokens").alias("doc_tokens"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("all"))
+    """One row for each leaking document: (doc_id, text_hash, items, spans merged over all leaks, leaked share of tokens).
+
+    Documents are told apart by doc_id and text_hash; repeated rows count once. An empty table gives
+    an empty result.
+    """
+    flat = leaks.select("doc_id", "text_hash", "item_id", "doc_tokens", "spans").distinct()
+    per = flat.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("doc_tokens").alias("doc_tokens"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("all"))
     start = F.expr("cast(array() as array<array<long>>)")
     step = lambda acc, s: F.when(
         (F.size(acc) > 0) & (s[0] <= F.element_at(acc, -1)[1]),
@@ -152,18 +157,21 @@ def merged_spans(leaks: DataFrame) -> DataFrame:
     ).otherwise(F.concat(acc, F.array(s)))
     spans = F.aggregate("all", start, step)
     share = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[2]) / F.greatest("doc_tokens", F.lit(1))
-    return per.withColumn("spans", spans).withColumn("share", share).select("doc_id", "items", "spans", "share")
+    return per.withColumn("spans", spans).withColumn("share", share).select("doc_id", "text_hash", "items", "spans", "share")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = DROP_SHARE, **how) -> DataFrame:
     """docs with leaked spans cut out of text, and without documents of which they are more than drop_share of the tokens.
 
     A cut leaves one space. n_chars, if there, follows the text. Documents without a leak, and rows
-    with a null doc_id or text, stay as they are; extra columns stay.
+    with a null doc_id or text, stay as they are; extra columns stay. Rows are judged by doc_id and
+    text: another text under the same doc_id isn't touched, repeated rows are cut alike. Empty
+    tables pass through.
     """
     leaks = shared.written(find_leaks(docs, benchmark, **how), "leaks")
-    per = merged_spans(leaks).select(F.col("doc_id").alias("__leak_id"), F.col("spans").alias("__leak_spans"), F.col("share").alias("__leak_share"))
-    joined = docs.join(shared.small(per, 200), F.col("doc_id") == F.col("__leak_id"), "left")
+    per = merged_spans(leaks).select(F.col("doc_id").alias("__leak_id"), F.col("text_hash").alias("__leak_hash"), F.col("spans").alias("__leak_spans"), F.col("share").alias("__leak_share"))
+    per = shared.beside(per, "spans", F.lit(64) + 56 * F.size("__leak_spans"))
+    joined = docs.join(per, (F.col("doc_id") == F.col("__leak_id")) & (F.xxhash64("text") == F.col("__leak_hash")), "left")
     cut = F.aggregate(
         F.reverse("__leak_spans"), F.col("text"), lambda acc, s: F.concat(F.substring(acc, F.lit(1), s[0].cast("int")), F.lit(" "), F.substr(acc, s[1].cast("int") + 1))
     )
@@ -175,7 +183,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = DRO
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
-    return found.drop("spans").distinct()
+    return found.drop("spans", "text_hash").distinct()
 
 
 _WORDS = "list_filter(regexp_split_to_array(lower({}), '(?:[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]|" + "[" + "".join(f"\\x{{{{{a:X}}}}}-\\x{{{{{b:X}}}}}" for a, b in tk._PUNCT) + "])+'), lambda x: x <> '')"

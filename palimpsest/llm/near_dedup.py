@@ -17,13 +17,17 @@ TREES, DEPTH, LEAST_DEPTH, SHINGLE, THRESHOLD = 20, 6, 3, 3, 0.5
 SLACK = 0.12
 
 
+def _sources(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text) of the rows that take part; th, a hash of the text, tells apart different texts under one doc_id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("doc_id is not null and text is not null")
+
+
 def signatures(docs: DataFrame, shingle: int = SHINGLE, k: int = TREES * DEPTH) -> DataFrame:
-    """(node, h1, h2, sig) of each document with an id and at least one token."""
-    schema = pa.schema([("node", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.binary())])
+    """(doc_id, th, h1, h2, sig) of each document with an id and at least one token."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = np.asarray(batch.column(0)), tk.plain(batch.column(1))
+            texts = tk.plain(batch.column(2))
             for a, b in tk.slices(texts):
                 t = tk.tokenise(texts.slice(a, b - a))
                 sh, first = t.shingles(shingle)
@@ -31,12 +35,10 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, k: int = TREES * DEPTH)
                 sig = tk.minhash(sh, first, k)[some]
                 h1 = t.texts()[some].view(np.int64)
                 t.hashes = tk.mix(t.hashes ^ np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b][some]), pa.array(h1), pa.array(t.texts()[some].view(np.int64)), tk.fixed_binary(sig)], schema=schema
-                )
+                ids = [batch.column(i).slice(a, b - a).filter(pa.array(some)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(h1), pa.array(t.texts()[some].view(np.int64)), tk.fixed_binary(sig)], names=["doc_id", "th", "h1", "h2", "sig"])
 
-    src = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    return src.mapInArrow(sign, "node long, h1 long, h2 long, sig binary")
+    return _sources(docs).mapInArrow(sign, "doc_id long, th long, h1 long, h2 long, sig binary")
 
 
 def forest(sigs: DataFrame, trees: int = TREES, depth: int = DEPTH, least_depth: int = LEAST_DEPTH) -> DataFrame:
@@ -62,7 +64,7 @@ def forest(sigs: DataFrame, trees: int = TREES, depth: int = DEPTH, least_depth:
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(node, set) of every row given."""
+    """(node, set) of every row of (node, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,52 +73,70 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 sets = tk.sets(*tk.tokenise(texts.slice(a, b - a)).shingles(shingle))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(make, "node long, set binary")
+    return docs.select("node", "text").mapInArrow(make, "node long, set binary")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """Groups of near duplicates: (doc_id, group_id, keep), one row for each document in a group of two or more.
-
-    Documents are alike when the Jaccard of their sets of `shingle`-token windows is at least
-    `threshold`; groups are the connected components, and the least doc_id of each, its group_id,
-    is the one to keep. Documents with equal tokens are joined first, by two 64-bit hashes, so that
-    thousands of copies cost one signature. The others go into TREES sorted orders of their
-    signatures, DEPTH values each: those that share the first LEAST_DEPTH values of an order form a
-    region. Pairs of a region that the whole signature finds alike are verified by exact Jaccard;
-    a large region is searched through leaders and deeper orders first, then all its pairs that
-    aren't joined yet are compared, so recall doesn't depend on a region's size.
-
-    Null doc_id or null text, and texts without a token, are in no group. Rows that repeat a doc_id
-    are one document (its texts are all searched). Other columns are ignored. An empty table gives
-    an empty result.
+    """Groups of near duplicates: (doc_id, text_hash, group_id, keep), one row for each document in a group of two or more.
+
+    Documents are alike when the Jaccard of their sets of `shingle`-token windows (by 32-bit hashes)
+    is at least `threshold`; groups are the connected components. The first by (doc_id, text_hash) is
+    the one to keep, its doc_id the group_id. Documents with equal tokens are joined first, by two
+    64-bit hashes, so that thousands of copies cost one signature. The others go into TREES sorted
+    orders of their signatures, DEPTH values each: those that share the first LEAST_DEPTH values of
+    an order form a region. Pairs of a region that the whole signature finds alike are verified by
+    exact Jaccard; a large region is searched through leaders and deeper orders first, then all its
+    pairs that aren't joined yet are compared, so recall doesn't depend on a region's size.
+
+    text_hash is xxhash64(text): different texts under one doc_id are documents of their own, rows
+    that repeat both are one. Null doc_id or null text, and texts without a token, are in no group.
+    Other columns are ignored. An empty table gives an empty result.
     """
     k = TREES * DEPTH
     sigs = shared.written(signatures(docs, shingle, k), "sig")
-    copies = sigs.groupBy("h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = shared.written(sigs.drop("sig").join(copies, ["h1", "h2"]).where("node <> rep").select("node", "rep").distinct(), "copy")
-    reps = sigs.join(shared.small(copies.select("node").distinct(), 16), "node", "left_anti")
-    reps = reps.select("node", "sig")
+    members = sigs.select("doc_id", "th", "h1", "h2").distinct()
+    least = members.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.count("*").alias("n"))
+    least = shared.written(least.select("h1", "h2", F.col("at.doc_id").alias("least_id"), F.col("at.th").alias("least_th"), "n"), "least")
+    copies = members.join(shared.small(least.where("n > 1"), 48), ["h1", "h2"]).where("doc_id <> least_id or th <> least_th")
+    copies = shared.small(shared.written(copies.select("doc_id", "th"), "copy"), 24)
+    # nodes are numbered once and written, as the numbers follow the files
+    reps = shared.written(sigs.join(copies, ["doc_id", "th"], "left_anti").withColumn("node", F.monotonically_increasing_id()), "reps")
 
     def sets_of(edges: DataFrame) -> DataFrame:
-        ids = edges.select(F.col("a").alias("doc_id")).union(edges.select(F.col("b").alias("doc_id"))).distinct()
-        return shingle_sets(docs.select(F.col("doc_id").cast("long"), "text").join(shared.small(ids, 16), "doc_id", "left_semi"), shingle)
-
-    sure = regions.alike(regions.shared_only(forest(reps)), reps, sets_of, k, DEPTH - LEAST_DEPTH, threshold - SLACK, threshold)
-    found = shared.components(sure.union(copies.select(F.col("rep").alias("a"), F.col("node").alias("b"))))
-    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))
+        nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+        wanted = reps.select("node", "doc_id", "th").join(shared.small(shared.written(nodes, "node"), 16), "node", "left_semi")
+        wanted = shared.small(shared.written(wanted, "wanted"), 32)
+        return shingle_sets(_sources(docs).join(wanted, ["doc_id", "th"]), shingle).dropDuplicates(["node"])
+
+    sure = regions.alike(regions.shared_only(forest(reps)), reps.select("node", "sig"), sets_of, k, DEPTH - LEAST_DEPTH, threshold - SLACK, threshold)
+    found = shared.components(sure)
+    # groups: all documents of joined nodes, and those with equal tokens
+    rooted = reps.select("node", "h1", "h2").join(shared.small(found, 24), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = shared.written(rooted.select("root", "h1", "h2").distinct(), "rooted")
+    sizes = rooted.join(least, ["h1", "h2"]).groupBy("root").agg(F.sum("n").alias("size"), F.min(F.struct("least_id", "least_th")).alias("first")).where("size > 1")
+    grouped = shared.written(rooted.join(sizes.select("root", "first.*"), "root").select("h1", "h2", F.col("least_id").alias("group_id"), F.col("least_th").alias("group_th")), "grouped")
+    out = members.join(shared.small(grouped, 40), ["h1", "h2"])
+    return out.select("doc_id", F.col("th").alias("text_hash"), "group_id", ((F.col("doc_id") == F.col("group_id")) & (F.col("th") == F.col("group_th"))).alias("keep"))
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs without the documents that near_duplicates() doesn't keep; of rows that repeat a doc_id in a group one stays."""
-    drop = groups.where("not keep").select(F.col("doc_id").alias("__drop_id"))
-    left = docs.join(shared.small(drop, 16), F.col("doc_id") == F.col("__drop_id"), "left_anti")
-    again = shared.written(left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again_id")), "again")
+    """docs without the documents that near_duplicates() doesn't keep; of rows that repeat a doc_id and its text one stays.
+
+    Documents are told apart by doc_id and text, so another text under the same doc_id is judged by
+    itself. Rows with a null doc_id or text stay as they are, as do extra columns, whatever their
+    names; of repeated rows any one stays. Empty tables pass through.
+    """
+    gone = groups.where("not keep").select(F.col("doc_id").alias("__drop_id"), F.col("text_hash").alias("__drop_hash"))
+    gone = shared.small(shared.written(gone, "gone"), 24)
+    left = docs.join(gone, (F.col("doc_id") == F.col("__drop_id")) & (F.xxhash64("text") == F.col("__drop_hash")), "left_anti")
+    per = left.where("doc_id is not null and text is not null").groupBy(F.col("doc_id").alias("__again_id"), F.xxhash64("text").alias("__again_hash")).agg(F.count("*").alias("n"))
+    again = shared.written(per.where("n > 1").drop("n"), "again")
     if again.isEmpty():
         return left
-    again = shared.small(again, 16)
-    twice = left.join(again, F.col("doc_id") == F.col("__again_id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, F.col("doc_id") == F.col("__again_id"), "left_anti").unionByName(twice)
+    same = (F.col("doc_id") == F.col("__again_id")) & (F.xxhash64("text") == F.col("__again_hash"))
+    again = shared.small(again, 24)
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(shared.table(spark, sf_dir, "documents"))
+    return near_duplicates(shared.table(spark, sf_dir, "documents")).drop("text_hash")

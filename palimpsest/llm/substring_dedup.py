@@ -347,4 +347,4 @@ def without_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(shared.table(spark, sf_dir, "documents"))
+    return repeated_passages(shared.table(spark, sf_dir, "documents")).drop("text_hash")

@@ -66,3 +66,12 @@ def test_cut(spark):
     assert got[1]["text"] == f"Before it.  , after   end of a text {prose(3, 90)}" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[3]["text"] == rows[2][1] and got[None]["text"] == item
     assert D.decontaminate(docs.limit(0), bench).count() == 0 and D.decontaminate(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_texts_of_one_id_are_apart(spark):
+    """A text without a leak isn't touched by that of another row of its id; repeated rows are cut alike."""
+    item = prose(5, 40)
+    leaks, clean = f"{prose(8, 60)} {item} {prose(9, 60)}", prose(10, 60)
+    docs = messy(spark, [(1, leaks), (1, clean), (1, leaks), (2, clean)])
+    out = sorted(r["text"] for r in D.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect())
+    assert out == sorted([clean, clean] + [f"{prose(8, 60)}   {prose(9, 60)}"] * 2)
