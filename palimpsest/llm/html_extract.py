@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>", re.S)
 CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg textarea iframe".split())
@@ -22,7 +23,7 @@ CONTAINER = frozenset("body main article section div td blockquote".split())
 AUTO_CLOSE = {"p": frozenset("p div section article ul ol table blockquote pre h1 h2 h3 h4 h5 h6 hr form main nav header footer aside".split()), "li": frozenset(["li"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "option": frozenset(["option"])}
 
 
-DEEPEST = 64  # a path names no more levels
+DEEPEST = 64  # a path names no more levels; deeper ones are hashed into its last
 
 
 class Node:
@@ -42,11 +43,19 @@ def general(tag: str, attrs: str) -> str:
     return ".".join([tag, *classes])
 
 
+def deeper(above: Node, step: str) -> str:
+    """The path one step below; beyond DEEPEST levels a hash of all further steps stands for them."""
+    if above.depth < DEEPEST:
+        return f"{above.path}/{step}"
+    named, _, hashed = above.path.partition("/~")
+    return f"{named}/~{hashlib.blake2b(f'{hashed}/{step}'.encode(), digest_size=8).hexdigest()}"
+
+
 def containers(page: str) -> list[Node]:
     """The containers of a page; malformed mark-up is read as far as it goes.
 
     Visible text goes into one list, of which each container is a range, so the work is linear in
-    the page however deep it nests. Levels beyond DEEPEST share the path of the one above.
+    the page however deep it nests. A declaration or comment that doesn't end takes the rest.
     """
     parts: list[str] = []
     stack, found, at, links, chars, link_chars = [Node("", "", 0, 0, False)], [], 0, 0, 0, 0
@@ -103,7 +112,7 @@ def containers(page: str) -> list[Node]:
                 text("\n")
             continue
         top = stack[-1]
-        path = f"{top.path}/{general(tag, m[3])}" if top.depth < DEEPEST else top.path
+        path = deeper(top, general(tag, m[3]))
         node = Node(tag, path, top.depth + 1, len(found), top.skip or tag in SKIP or tag in ("head", "title"))
         if tag in BLOCK and not node.skip:
             parts.append("\n")

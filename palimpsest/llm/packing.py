@@ -115,21 +115,24 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small_
     every = shared.written(pieces(docs, capacity), "pieces")
     limit = int(capacity * small_share)
     sub = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SUB))
-    large = every.where(F.col("length") > limit).withColumn("sub", sub)
-    # at most capacity * SUB rows, whatever the input
+    # a full piece is a bin by itself, named by what it holds; only repeats of an id need a number
+    is_full = F.col("length") == capacity
+    times = F.row_number().over(Window.partitionBy("name").orderBy("piece")) - 1
+    name = F.concat(F.lit("F"), F.coalesce(F.concat("doc_id", F.lit("-"), "piece"), F.concat(F.lit("-"), F.monotonically_increasing_id())))
+    full = every.where(is_full).withColumn("name", name).withColumn("times", times)
+    full = full.select("doc_id", "piece", "begin", "length", F.concat("name", F.when(F.col("times") > 0, F.concat(F.lit("-"), "times")).otherwise("")).alias("bin"))
+    large = every.where(~is_full & (F.col("length") > limit)).withColumn("sub", sub)
+    # at most capacity * SUB rows, whatever the input; so no window below grows with one length
     counts = large.groupBy("length", "sub").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy(F.desc("length"), "sub").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("length", "sub", F.coalesce(before, F.lit(0)).alias("before"), "n")
     row = F.row_number().over(Window.partitionBy("length", "sub").orderBy("doc_id", "piece")) - 1
     ranked = large.withColumn("row", row).join(F.broadcast(counts.drop("n")), ["length", "sub"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("row"))
-    total, full = every.where(F.col("length") > limit).agg(F.count("*"), F.count_if(F.col("length") == capacity)).first()
-    rest = total - full
-    group = F.floor((F.col("rank") - full) * groups / F.lit(max(1, rest))).cast("int")
-    ranked = shared.written(
-        ranked.withColumn("grp", F.when(F.col("length") == capacity, F.lit(-1)).otherwise(group)).select("doc_id", "piece", "begin", "length", "rank", "grp"), "ranked"
-    )
-    stats = ranked.where("grp >= 0").groupBy("grp").agg(F.max("length").alias("size"), F.count("*").alias("n"), F.min("rank").alias("lo")).orderBy("grp").collect()
+    rest = every.where(~is_full & (F.col("length") > limit)).count()
+    group = F.floor(F.col("rank") * groups / F.lit(max(1, rest))).cast("int")
+    ranked = shared.written(ranked.withColumn("grp", group).select("doc_id", "piece", "begin", "length", "rank", "grp"), "ranked")
+    stats = ranked.groupBy("grp").agg(F.max("length").alias("size"), F.count("*").alias("n"), F.min("rank").alias("lo")).orderBy("grp").collect()
     # groups whose rounded size is the same are one size
     sizes = sorted({r["size"] for r in stats})
     demand = [sum(r["n"] for r in stats if r["size"] == z) for z in sizes]
@@ -183,13 +186,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small_
                 stacks[left] = [name]
                 bisect.insort(gaps_, left)
             names.append(name)
-        return items[["no_id", "id", "piece", "begin", "length"]].assign(bin=names)
+        return items[["no_id", "id", "piece", "begin", "length"]].assign(bin=pd.Series(names, index=items.index, dtype=object))
 
     fitted = both.groupBy("shard").applyInPandas(fit, "no_id boolean, id long, piece long, begin long, length long, bin string")
     fitted = fitted.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "piece", "begin", "length", "bin")
     filled = placed.select("doc_id", "piece", "begin", "length", F.concat(F.lit("C"), F.col("bin_no").cast("string")).alias("bin"))
-    whole = ranked.where("grp = -1").select("doc_id", "piece", "begin", "length", F.concat(F.lit("F"), F.col("rank").cast("string")).alias("bin"))
-    return whole.union(filled).union(fitted)
+    return full.union(filled).union(fitted)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,8 @@ RECORD_DDL = "source string, offset long, header binary, payload binary"
 def parse(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
     """(offset, exact header bytes with the empty line, payload) of each record; gzip members are read through.
 
-    A record ends after its Content-Length; bytes that don't begin a record are an error.
+    A record ends after its Content-Length; bytes that don't begin a record, a missing or malformed
+    Content-Length and a payload that ends early are errors. No bytes give no records.
     """
     if data[:2] == b"\x1f\x8b":
         data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
@@ -32,7 +33,10 @@ def parse(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
             raise ValueError(f"no WARC record at byte {at}")
         header = data[at : end + 4]
         fields = dict(x.split(b":", 1) for x in header.split(b"\r\n")[1:] if b":" in x)
-        length = int(next(v for k, v in fields.items() if k.strip().lower() == b"content-length"))
+        stated = [v.strip() for k, v in fields.items() if k.strip().lower() == b"content-length"]
+        if not stated or not stated[0].isdigit():
+            raise ValueError(f"record at byte {at} states no Content-Length")
+        length = int(stated[0])
         payload = data[end + 4 : end + 4 + length]
         if len(payload) < length:
             raise ValueError(f"record at byte {at} is cut short")
@@ -41,7 +45,11 @@ def parse(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(source, offset, header, payload) of the records of .warc and .warc.gz files; a file is read by one task."""
+    """(source, offset, header, payload) of the records of .warc and .warc.gz files; a file is read by one task.
+
+    An empty file has no records; a malformed one stops the job (see parse). Repeated records are
+    rows of their own, an empty payload is empty, not null.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,13 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import random
+import re
+import time
+
+import duckdb
+import pytest
 
 from palimpsest.llm import chat, html_extract, warc
 
@@ -11,7 +17,7 @@ def brute_chat(rows):
     for c, t, role, text in rows:
         if c is not None:
             convs.setdefault(c, []).append((t, role, text))
-    key = {c: tuple((r, x) for _, r, x in sorted(v, key=lambda z: (z[0], z[1] or "", z[2] or ""))) for c, v in convs.items()}
+    key = {c: tuple((r, x) for _, r, x in sorted(v, key=lambda z: (z[0], z[1] or "", "" if z[2] is None else hashlib.md5(z[2].encode()).hexdigest()))) for c, v in convs.items()}
     top = {}
     for c, k in key.items():
         if not any(len(o) > len(k) and o[: len(k)] == k for o in key.values()):
@@ -35,6 +41,25 @@ def test_snapshots(spark):
     assert chat.render(df.limit(0)).count() == 0
 
 
+def test_ties_against_sql(spark):
+    """Several texts and nulls at one turn and role are ordered alike by the operator and its SQL."""
+    r = random.Random(8)
+    rows = [(c, r.randrange(2), r.choice(["user", "bot", None]), r.choice(["a", "b\r\nc", "", None, "<|im_start|>"])) for c in range(40) for _ in range(r.randrange(1, 5))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    want = con.execute(chat.OP6_SQL).fetchall()
+    got = [(x["conv_id"], x["turns"], x["copies"], x["rendered"]) for x in chat.render(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("data", [b"WARC/1.1\r\nWARC-Type: x\r\n\r\nabc", b"WARC/1.1\r\nContent-Length: many\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc", b"HTTP/1.1 200", b"WARC/1.1\r\nContent-Length: 9"])
+def test_malformed_archives(data):
+    with pytest.raises(ValueError):
+        list(warc.parse(data))
+    assert list(warc.parse(b"")) == []
+
+
 def test_archive_round_trip(spark, tmp_path):
     records = [(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(p), p) for p in (b"", b"same", b"same", bytes(range(256)), b"\r\n\r\nWARC/1.1\r\n", b"x" * 200_000)]
     body = b"".join(h + p + b"\r\n\r\n" for h, p in records)
@@ -58,8 +83,6 @@ def test_archive_nulls(spark):
 
 
 def test_damage_is_found(spark):
-    import pytest
-
     heads, store = warc.archive(spark.createDataFrame([(1, b"h", b"p")], "record_id long, header binary, payload binary"))
     with pytest.raises(Exception, match="missing or damaged"):
         warc.rebuild(heads, store.limit(0)).collect()
@@ -69,10 +92,8 @@ PAGE = "<html><body><nav><a href=x>menu</a></nav><div class='wrap'><div class='c
 
 
 def test_odd_pages_are_linear():
-    import time
-
     t = time.time()
-    for page in ("<div>" * 60_000 + "x", "<a \"'" * 60_000, "<" * 300_000, "</b>" * 100_000, "<!--" * 50_000, "<div><p>" * 30_000 + "</div>" * 30_000, "<script>" * 60_000, "<b><div>x" * 30_000 + "</b>" * 30_000):
+    for page in ("<div>" * 60_000 + "x", "<a \"'" * 60_000, "<" * 300_000, "</b>" * 100_000, "<!--" * 50_000, "<div><p>" * 30_000 + "</div>" * 30_000, "<script>" * 60_000, "<!" * 300_000, "<a" * 300_000, "<!x <p>" * 60_000, "<b><div>x" * 30_000 + "</b>" * 30_000):
         html_extract.containers(page)
     assert time.time() - t < 60
     nodes = html_extract.containers("<body><div>a<script>if (a<b && c=='</p>') {}</script>b<br>c<nav>no</nav></div>d<style>x")
@@ -89,6 +110,8 @@ def test_consensus(spark):
     for i in (*range(6), None):
         assert got[i]["by_consensus"] and got[i]["path"].endswith("div.body.c") and got[i]["host"] == "example.org"
         assert got[i]["text"].startswith("First & long paragraph") and got[i]["text"].count("\n") == 1
+    deep = html_extract.containers("<div class=a>" * 70 + "<div class=b>x</div><div class=c>y</div>")
+    assert len({n.path for n in deep}) == 72  # levels beyond the named ones are told apart
     assert not got[50]["by_consensus"] and got[50]["text"].startswith("Something else")
     assert got[51]["text"] == "no host" and got[52]["text"] == "" and got[52]["path"] is None and got[53]["text"] == ""
     assert html_extract.extract(df.limit(0)).count() == 0
@@ -96,10 +119,30 @@ def test_consensus(spark):
 
 def test_extract_on_table(spark, data):
     """Every page's text against a plain re-reading: what the article's paragraphs say is there, menus and scripts aren't."""
-    import duckdb
-
     html = dict(duckdb.sql(f"select page_id, html from '{data}/pages.parquet'").fetchall())
     got = html_extract.op9_html_extraction(spark, data).collect()
     assert {r["page_id"] for r in got} == set(html)
     full = [r for r in got if r["text"]]
     assert len(full) >= 0.95 * len(html) and not any("track(" in r["text"] or "margin:0" in r["text"] for r in full)
+
+
+def test_votes_against_brute_force(spark, data):
+    """The query against one pass in plain Python over the whole small table: votes by host, winners, extraction."""
+    rows = duckdb.sql(f"select page_id, url, html from '{data}/pages.parquet'").fetchall()
+    host = lambda u: m[1].lower() if (m := re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", u or "")) else ""
+    polls: dict = {}
+    for _, url, page in rows:
+        nodes = html_extract.containers(page or "")
+        top = max(nodes, key=lambda n: (html_extract.points(n), n.order), default=None)
+        if top and top.chars:
+            poll = polls.setdefault(host(url), {}).setdefault(top.path, [0, 0])
+            poll[0], poll[1] = poll[0] + 1, poll[1] + int(html_extract.points(top))
+    won = {h: min(p, key=lambda x: (-p[x][0], -p[x][1], x)) for h, p in polls.items()}
+    want = []
+    for i, url, page in rows:
+        nodes = [n for n in html_extract.containers(page or "") if n.chars]
+        mine = [n for n in nodes if n.path == won.get(host(url))]
+        top = max(mine or nodes, key=lambda n: (html_extract.points(n), n.order), default=None)
+        want.append((i, host(url), top.path if top else None, bool(mine), html_extract.tidy(top) if top else ""))
+    got = [tuple(r) for r in html_extract.op9_html_extraction(spark, data).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

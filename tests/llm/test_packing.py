@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import bisect
 import random
 
+import duckdb
+
 from palimpsest.llm import packing
 
 from .helpers import messy, odd_rows
@@ -57,3 +60,33 @@ def test_odd_rows(spark):
     assert packing.pack(docs.where("doc_id = 4")).count() == 2
     big = 2**62 + 3
     assert {r["doc_id"] for r in packing.pack(messy(spark, [(big, "a b c"), (1, "x " * 600)])).collect()} == {big, 1}
+
+
+def best_fit(lengths, capacity):
+    """Bins that best fit, longest first, needs for the given lengths."""
+    gaps: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, n)
+        g = gaps.pop(i) if i < len(gaps) else capacity
+        bisect.insort(gaps, g - n)
+    return len(gaps)
+
+
+def test_query_against_best_fit(spark, data):
+    """The query on the whole small table: every token is in one bin once, and bins are about as few as plain best fit needs."""
+    rows = duckdb.sql(f"select doc_id, text from '{data}/documents.parquet'").fetchall()
+    packed = packing.op5_best_fit_packing(spark, data).collect()
+    bins = check(rows, packed, packing.CAPACITY)
+    assert len(bins) <= 1.05 * best_fit([r["length"] for r in packed], packing.CAPACITY) + 2
+    for i, t in rows:
+        parts = sorted((r["begin"], r["length"]) for r in packed if r["doc_id"] == i)
+        at = 0
+        for b, n in parts:
+            assert b == at
+            at += n
+        assert at == (len(t.split()) + 1 if t and t.split() else 0)
+
+
+def test_repeated_ids_fill_bins_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "w " * 5000), (1, "w " * 5000), (None, "w " * 5000), (None, "w " * 5000)], "doc_id long, text string")
+    assert len(check([(1, "w " * 5000)] * 2 + [(None, "w " * 5000)] * 2, packing.pack(docs).collect(), packing.CAPACITY)) >= 8

@@ -76,6 +76,37 @@ def test_classifier_held_out(spark):
     assert auc > 0.85 and np.mean([p >= 0.5 for p in pos]) > 0.95
 
 
+def by_hand(net, text):
+    """The network's probability, byte by byte: windows, chunks of two halves that overlap by one, maximum and mean."""
+    x = np.concatenate([np.zeros(classifier.WIDTH, np.uint8), np.frombuffer(text.encode(), np.uint8)])
+    halves = -(-len(x) // classifier.HALF)
+    x = np.concatenate([x, np.zeros(halves * classifier.HALF + classifier.WIDTH - len(x), np.uint8)])
+    y = np.array([classifier.TABLE[x[i : i + classifier.WIDTH]].ravel() @ net.w + net.b for i in range(halves * classifier.HALF)])
+    chunks = np.maximum([y[i * classifier.HALF : (i + 2) * classifier.HALF].max(0) for i in range(max(1, halves - 1))], 0)
+    return 1 / (1 + np.exp(-(np.concatenate([chunks.max(0), chunks.mean(0)]) @ net.v + net.c[0])))
+
+
+def test_classifier_query_by_hand(spark, data):
+    """The query's probabilities on the whole small table against the definition, for each text."""
+    got = {r["doc_id"]: r for r in classifier.op8_quality_classifier(spark, data).collect()}
+    docs = shared.table(spark, data, "documents")
+    net = classifier.train(docs, shared.table(spark, data, "labels"))
+    rows = docs.collect()
+    assert set(got) == {r["doc_id"] for r in rows}
+    for r in sorted(rows, key=lambda r: len(r["text"] or ""))[:: max(1, len(rows) // 60)]:
+        p = by_hand(net, r["text"] or "")
+        assert math.isclose(p, got[r["doc_id"]]["probability"], abs_tol=2e-3) and (abs(p - 0.5) < 2e-3 or got[r["doc_id"]]["keep"] == (p >= 0.5))
+
+
+def test_classifier_short_labelled_texts(spark):
+    """Labelled texts of 0 to 9 bytes, good and bad, are fitted on."""
+    rows = [(i, "abcdefghij"[:i]) for i in range(10)] + [(20 + i, "you utter moron! " * 3) for i in range(5)] + [(40 + i, prose(i, 30)) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bad in (set(range(0, 10, 2)) | set(range(20, 25)), set(range(1, 10, 2)), set(range(10))):
+        labels = spark.createDataFrame([(i, int(i not in bad), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+        assert classifier.classify(docs, classifier.train(docs, labels)).count() == len(rows)
+
+
 def test_classifier_odd_rows(spark):
     docs = messy(spark, odd_rows())
     for labels in ("doc_id long, quality int, toxic int", None):
@@ -180,6 +211,30 @@ def test_pipeline(spark, data):
     assert again == {tuple(r) for r in docs.collect()}
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls, empties, repeated rows, different texts of one id: stages keep what is clean, as often as it is told apart."""
+    good = [prose(600 + i, 120) for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(good)] + [(1, prose(900, 90)), (2, good[2]), (100, good[3]), (101, None), (None, prose(901, 60)), (102, ""), (103, prose(902, 40) + " " + prose(77, 60)), (104, prose(903, 40) + " " + prose(77, 60))]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, good[5]), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = str(tmp_path)
+    docs = shared.table(spark, d, "documents")
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["near_dedup"](spark, docs, d)
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in one.collect())
+    want = [(str(i), t or "") for i, t in rows if i != 100]
+    want.remove(("2", good[2]))
+    assert got == sorted(want)
+    two = {(r["doc_id"], r["text"]) for r in stages["substring_dedup"](spark, one, d).collect()}
+    assert (1, good[1]) in two and (1, prose(900, 90)) in two and (104, prose(903, 40) + " ") in {(i, (t or "").rstrip() + " ") for i, t in two}
+    three = stages["decontamination"](spark, one, d)
+    assert 5 not in {r["doc_id"] for r in three.collect()} and three.count() == one.count() - 1
+    packed = corpus_pipeline.run(spark, d)
+    assert packed.where("doc_id = 1").count() == 2 and packed.where("doc_id is null").count() == 1
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         shared.table(spark, "/root/testdata/sf0.001", t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
