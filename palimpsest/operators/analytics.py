@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import cost
+
 ERA = 2
 
 
@@ -201,18 +203,27 @@ def dissect(requests: DataFrame, shadow: DataFrame, restore: DataFrame, before:
     """One row for each session: its span, requests, tokens, distinct folded blocks, those that can be restored, and shadow rows in its span.
 
     requests: session, epoch, tokens_saved, compressible_tokens, h; restore: h; shadow: epoch, changed.
-    Shadow rows carry no session, so they join on time: both sides are spread over hours and joined
-    on the hour, then held to the span.
+    Shadow rows carry no session, so they count by time: a span's rows are those up to its end less
+    those before its begin. Running counts within each hour, over rows and ends together, and totals
+    of the hours before give both in linear work, however many sessions a row falls in.
     """
     s = requests.groupBy("session").agg(
         F.min("epoch").alias("started"), F.max("epoch").alias("ended"), F.count("*").alias("requests"), F.sum("compressible_tokens").alias("baseline"), F.sum("tokens_saved").alias("saved")
     )
     blocks = requests.select("session", "h").distinct().join(restore.select("h").distinct().withColumn("known", F.lit(1)), "h", "left")
     b = blocks.groupBy("session").agg(F.count("*").alias("blocks"), F.coalesce(F.sum("known"), F.lit(0)).alias("restorable"))
-    span = s.select("session", (F.col("started") - before).alias("lo"), (F.col("ended") + after).alias("hi"))
-    span = span.withColumn("hour", F.explode(F.sequence(F.floor(F.col("lo") / 3600), F.floor(F.col("hi") / 3600))))
-    hourly = shadow.withColumn("hour", F.floor(F.col("epoch") / 3600))
-    hit = span.join(hourly, "hour").where("epoch between lo and hi").groupBy("session").agg(F.count("*").alias("shadow_rows"), F.count_if("changed").alias("shadow_changed"))
+    none = F.lit(None).cast("string")
+    marks = shadow.select(none.alias("session"), F.lit(0).alias("sign"), "epoch", F.lit(1).alias("after"), F.lit(1).alias("row"), F.col("changed").cast("int").alias("changed"))
+    # at equal times a begin comes before the rows there and an end after them
+    for sign, at, order in ((-1, F.col("started") - before, 0), (1, F.col("ended") + after, 2)):
+        marks = marks.union(s.select("session", F.lit(sign), at, F.lit(order), F.lit(0), F.lit(0)))
+    marks = marks.withColumn("hour", F.floor(F.col("epoch") / 3600))
+    hours = marks.groupBy("hour").agg(F.sum("row").alias("n"), F.sum("changed").alias("c"))
+    upto = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)  # a row for each hour
+    earlier = hours.select("hour", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("n0"), F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("c0"))
+    within = Window.partitionBy("hour").orderBy("epoch", "after").rowsBetween(Window.unboundedPreceding, 0)
+    ends = marks.withColumn("n1", F.sum("row").over(within)).withColumn("c1", F.sum("changed").over(within)).where("session is not null").join(earlier, "hour")
+    hit = ends.groupBy("session").agg(F.sum(F.col("sign") * (F.col("n0") + F.col("n1"))).alias("shadow_rows"), F.sum(F.col("sign") * (F.col("c0") + F.col("c1"))).alias("shadow_changed"))
     out = s.join(b, "session", "left").join(hit, "session", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("blocks", "restorable", "shadow_rows", "shadow_changed")})
 
@@ -225,3 +236,65 @@ def headlines(sessions_: DataFrame) -> DataFrame:
         F.when(F.col("shadow_changed") > 0, F.format_string("%d of %d shadowed decisions changed", F.col("shadow_changed"), F.col("shadow_rows"))),
     ))
     return sessions_.select("session", F.explode(said).alias("headline"))
+
+
+def resolved_map(files: DataFrame, column: str) -> DataFrame:
+    """(id, resolved) of score files: a flat JSON map to booleans, or one under per_instance to objects with a field resolved."""
+    nested = F.from_json(column, "per_instance map<string, struct<resolved: boolean>>")["per_instance"]
+    flat = F.from_json(column, "map<string, string>")
+    deep = F.transform(F.map_entries(nested), lambda e: F.struct(e["key"].alias("id"), F.coalesce(e["value"]["resolved"], F.lit(False)).alias("resolved")))
+    plain = F.transform(F.map_entries(flat), lambda e: F.struct(e["key"].alias("id"), (e["value"] == "true").alias("resolved")))
+    return files.select(F.explode(F.when(nested.isNotNull(), deep).otherwise(plain)).alias("e")).select("e.*")
+
+
+def mechanisms(requests: DataFrame) -> DataFrame:
+    """By session what saved tokens and how its requests went; nulls count as nothing."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    g = requests.groupBy("session").agg(
+        total("delta_tokens_saved").alias("delta_tokens_saved"), total("tokens_saved").alias("tokens_saved_total"), F.count_if(F.coalesce("mode", F.lit("")).isin("", "verbatim")).alias("verbatim_requests"),
+        F.count_if(~F.coalesce("booked", F.lit(False))).alias("unbooked_requests"), F.count_if("shadow_sampled").alias("shadow_sampled"), F.count_if("expanded").alias("expand_resolved"),
+        F.count_if(F.col("client_stream") & ~F.col("stream")).alias("forced_buffered"), total("usage_input_tokens").alias("usage_input_total"), F.count("usage_input_tokens").alias("usage_requests"),
+    )
+    return g.withColumn("digest_saved", F.greatest(F.lit(0).cast("long"), F.col("tokens_saved_total") - F.col("delta_tokens_saved")))
+
+
+def runtime_savings(requests: DataFrame, default: str) -> DataFrame:
+    """(model, requests, before, after, dollars_saved) of requests (model, before, after): a blank model is the default, an unknown one has no price, rows without input go."""
+    m = F.coalesce(F.nullif(F.trim("model"), F.lit("")), F.lit(default))
+    g = requests.groupBy(m.alias("model")).agg(F.count("*").alias("requests"), F.sum("before").alias("before"), F.sum("after").alias("after")).where("before > 0")
+    p = cost.resolve_prices(g)
+    return p.select("model", "requests", "before", "after", F.coalesce((F.col("before") - F.col("after")) * F.col("input"), F.lit(0.0)).alias("dollars_saved"))
+
+
+def resolve_sessions(queries: DataFrame, sessions_: DataFrame, newest: Column) -> DataFrame:
+    """(query, session): `latest` is the one greatest by `newest`, else the equal id, else the only one that begins so; null if there is none.
+
+    Prefixes are joined as keys: each session offers its own.
+    """
+    s = sessions_.select("session", newest.alias("newest"))
+    last = s.agg(F.max_by("session", "newest").alias("last"))  # one row
+    parts = s.select("session", F.explode(F.transform(F.sequence(F.lit(1), F.length("session")), lambda k: F.substring("session", F.lit(1), k))).alias("query"))
+    known = parts.groupBy("query").agg(F.count("*").alias("n"), F.min("session").alias("one"), F.max(F.when(F.col("query") == F.col("session"), F.col("session"))).alias("same"))
+    j = queries.join(known, "query", "left").crossJoin(F.broadcast(last))
+    return j.select("query", F.when(F.col("query") == "latest", F.col("last")).otherwise(F.coalesce("same", F.when(F.col("n") == 1, F.col("one")))).alias("session"))
+
+
+def is_contents_path(path: Column) -> Column:
+    """Whether a request path, its query string aside, asks for (streamed) generation from contents and parts."""
+    return F.regexp_replace(path, r"\?.*$", "").rlike(r"^/v[0-9]+(?:beta|alpha)?[0-9]*/(?:[^:]*/)?models/[^/:]+:(?:streamG|g)enerateContent$")
+
+
+def session_keys(messages: DataFrame, by: str) -> DataFrame:
+    """(by, session_key): 16 hexadecimal digits of SHA-256 over the first message (turn, role, content) in JSON with sorted keys."""
+    first = messages.groupBy(by).agg(F.min(F.struct("turn", "role", "content")).alias("m"))
+    return first.select(by, F.substring(F.sha2(F.to_json(F.struct(F.col("m.content").alias("content"), F.col("m.role").alias("role"))), 256), 1, 16).alias("session_key"))
+
+
+def primary_argument(column: str) -> Column:
+    """The value of the smallest key of a JSON object; the trimmed text where it is none."""
+    m = F.from_json(column, "map<string, string>")
+    return F.when(F.size(m) > 0, F.element_at(m, F.array_min(F.map_keys(m)))).otherwise(F.trim(column))
+
+
+def is_folded(text: Column) -> Column:
+    return text.startswith("«")

@@ -214,10 +214,56 @@ def split_coverage(losses: DataFrame, alpha: float, delta: float, reps: int = 10
     splits then multiply those sums, not the turns, and are hash draws, so they repeat.
     """
     s = losses.groupBy("traj_id", "level_idx", "level").agg(F.sum("loss").alias("s"), F.count("*").alias("n"))
-    r = s.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("cal", F.pmod(F.xxhash64("traj_id", "rep"), F.lit(2)) == 0)
+    r = s.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("cal", F.conv(F.substring(F.sha2(F.concat_ws(":", "traj_id", "rep"), 256), 1, 8), 16, 10).cast("long") % 2 == 0)
     g = r.groupBy("rep", "level_idx", "level").agg(*[F.coalesce(F.sum(F.when(F.col("cal") == c, F.col(v))), F.lit(0)).alias(f"{v}{int(c)}") for v in ("s", "n") for c in (True, False)])
     p = g.withColumn("p_value", hb_pvalue(F.when(F.col("n1") > 0, F.col("s1") / F.col("n1")).otherwise(1.0), F.col("n1"), F.lit(alpha)))
     w = Window.partitionBy("rep").orderBy("level_idx").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("passed", F.min((F.col("p_value") <= delta).cast("int")).over(w) == 1)
     best = p.where("passed").groupBy("rep").agg(F.max_by(F.struct("level", (F.col("s0") / F.greatest("n0", F.lit(1))).alias("risk")), "level_idx").alias("b"))
     return best.select("rep", F.col("b.level").alias("level"), F.col("b.risk").alias("risk"), (F.col("b.risk") <= alpha).alias("covered"))
+
+
+@F.pandas_udf(DoubleType())
+def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
+    """Exact two-sided McNemar p-value of discordant counts."""
+    return pd.Series([S.mcnemar_exact(int(x), int(y)) for x, y in zip(b, c, strict=True)], dtype=float)
+
+
+def trajectory_bound(totals: DataFrame, alpha: float) -> DataFrame:
+    """A row (n, diverged, turns) with what a risk of alpha for each turn comes to over `turns` of them.
+
+    naive_bound takes turns as independent, union_bound adds them up; k_exact and k_linear say after
+    how many turns that matter the observed divergence would be reached, consequential their share.
+    """
+    import math
+
+    t, d = F.col("turns"), F.try_divide("diverged", "n")
+    return totals.select(
+        "n", "diverged", F.round(t, 6).alias("mean_turns"), F.round(1 - F.pow(F.lit(1 - alpha), t), 6).alias("naive_bound"), F.round(t * alpha, 6).alias("union_bound"),
+        F.round(F.when((d > 0) & (d < 1), F.log(1 - d) / math.log(1 - alpha)), 6).alias("k_exact"), F.round(d / alpha, 6).alias("k_linear"), F.round(d / alpha / t, 6).alias("consequential"),
+    )
+
+
+def sample_ids(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
+    """n distinct keys first in the order of a hash of key and seed: a sample that repeats, whatever the partitions."""
+    k = rows.select(key).distinct()
+    return k.orderBy(F.sha2(F.concat(F.col(key).cast("string"), F.lit(":" + seed)), 256), key).limit(n)
+
+
+def against_gold(decisions: DataFrame, gold: DataFrame, key: str) -> DataFrame:
+    """decisions (key, decision) with gold, resolved and agrees of (key, gold, resolved); null where there is no gold."""
+    return decisions.join(gold, key, "left").withColumn("agrees", F.when(F.col("gold").isNotNull(), F.col("gold") == F.col("decision")))
+
+
+def route(scores: DataFrame, threshold: DataFrame) -> DataFrame:
+    """scores (..., score) with `route`: full from the threshold on, else compressed; without a threshold all go in full."""
+    t = threshold.agg(F.min("threshold").alias("threshold"))  # one row
+    return scores.crossJoin(F.broadcast(t)).withColumn("route", F.when(F.col("score") < F.col("threshold"), "compressed").otherwise("full")).drop("threshold")
+
+
+def from_scores(base: DataFrame, candidates: DataFrame, margin: float = 0.05) -> DataFrame:
+    """Points (name, gate_recent, n, b, c, delta, noninferior) of candidates (name, id, resolved) on the tasks that the base (id, resolved) has too."""
+    j = candidates.join(base.select("id", F.col("resolved").alias("base")), "id")
+    g = j.groupBy("name").agg(F.count("*").alias("n"), F.count_if(F.col("base") & ~F.col("resolved")).alias("b"), F.count_if(~F.col("base") & F.col("resolved")).alias("c"))
+    g = g.withColumn("gate_recent", F.dense_rank().over(Window.orderBy("name")))  # a row for each candidate
+    return g.select("name", "gate_recent", "n", "b", "c", *S.mcnemar_columns(F.col("b"), F.col("c"), F.col("n"), margin))

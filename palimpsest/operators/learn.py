@@ -26,22 +26,15 @@ def bucket(column: str, divisor: float = 4294967295.0) -> Column:
 def fit(data: DataFrame, epochs: int = 400, rate: float = 0.5, l2: float = 1e-4) -> list[float]:
     """Weights by full-batch descent from zero.
 
-    Lines with the same features (rounded to 4 places) and label are one weighted row, so the driver
-    holds the distinct vectors; beyond a million of them each epoch is a distributed sum.
+    Lines with the same features and label are one weighted row; features are shares of lengths up
+    to 120 and flags, so rounded to 2 places there are some 10^5 of them, with a bound that doesn't grow
+    with the lines: those come to the driver, whatever the input.
     """
-    rounded = [F.round(c, 4).alias(c) for c in T.FEATURES]
+    rounded = [F.round(c, 2).alias(c) for c in T.FEATURES]
     h = data.select(*rounded, "label").groupBy(*T.FEATURES, "label").agg(F.count("*").alias("n"))
-    if h.count() <= 1_000_000:
-        m = h.toPandas()
-        x, y, n = m[list(T.FEATURES)].to_numpy(float), m["label"].to_numpy(float), m["n"].to_numpy(float)
-        step = lambda w: ((1 / (1 + np.exp(-np.clip(x @ w, -60, 60))) - y) * n) @ x / n.sum()
-    else:
-
-        def step(w: np.ndarray) -> np.ndarray:
-            p = 1 / (1 + F.exp(-sum((F.col(c) * float(v) for c, v in zip(T.FEATURES, w, strict=True)), F.lit(0.0))))
-            e = (p - F.col("label")) * F.col("n")
-            r = h.agg(F.sum("n"), *[F.sum(e * F.col(c)) for c in T.FEATURES]).first()
-            return np.array(r[1:]) / r[0]
+    m = h.toPandas()
+    x, y, n = m[list(T.FEATURES)].to_numpy(float), m["label"].to_numpy(float), m["n"].to_numpy(float)
+    step = lambda w: ((1 / (1 + np.exp(-np.clip(x @ w, -60, 60))) - y) * n) @ x / max(1.0, n.sum())
 
     w = np.zeros(len(T.FEATURES))
     for _ in range(epochs):
@@ -69,3 +62,44 @@ def evaluate(scored: DataFrame) -> DataFrame:
 def causal_labels(lines: DataFrame) -> DataFrame:
     """(line, label): distinct lines; keep (1) wins where both occur."""
     return lines.groupBy("line").agg(F.max("label").alias("label"))
+
+
+def holdout(trajectories: DataFrame, share: float) -> DataFrame:
+    """(control, n, base, sent, savings) of trajectories (key, base, comp): a share of them, by hash, is sent in full."""
+    x = trajectories.withColumn("control", bucket("key", 4294967296.0) < share)
+    g = x.groupBy("control").agg(F.count("*").alias("n"), F.sum("base").cast("long").alias("base"), F.sum(F.when(F.col("control"), F.col("base")).otherwise(F.col("comp"))).cast("long").alias("sent"))
+    return g.withColumn("savings", 1 - F.try_divide("sent", "base"))
+
+
+def retrain(labels: DataFrame, test_share: float = 0.2) -> tuple[list[float], DataFrame]:
+    """Weights fitted on labelled lines (line, label), and how they do on a share held out by hash, or on all where that is empty."""
+    data = labels.select("line", *T.features("line"), F.col("label").cast("double").alias("label")).withColumn("held", bucket("line") < test_share)
+    weights = fit(data.where("not held"))
+    held = data.where("held")
+    judged = data if held.isEmpty() else held
+    return weights, evaluate(judged.withColumn("p", probability(weights)))
+
+
+def certify_promotion(turns: DataFrame, weights: list[float], ratio: float = 0.7) -> DataFrame:
+    """(trajectories, passed): how many keep all their decisions when the model prunes blocks without one to a ratio of their lines."""
+    from . import certify
+
+    z = sum((c * float(v) for c, v in zip(T.features("line"), weights, strict=True)), F.lit(0.0))
+    score = F.when(F.trim("line") == "", 0.0).otherwise(F.least(1 / (1 + F.exp(-z)), F.lit(0.999999)))
+    b = turns.withColumn("block_id", F.concat_ws(":", "traj_id", "turn_idx", "pos"))
+    inert = F.size(certify.drivers("text")) == 0
+    pruned = line_ops.apply_keep(b.where(inert).select("block_id", "text"), ratio, score)
+    out = b.where(inert).drop("text").join(pruned, "block_id").select("traj_id", "turn_idx", "text").unionByName(b.where(~inert).select("traj_id", "turn_idx", "text"))
+    same = certify.paired(certify.decide(turns), certify.decide(out), ("traj_id", "turn_idx")).groupBy("traj_id").agg((~F.bool_or("changed")).alias("ok"))
+    return same.agg(F.count("*").alias("trajectories"), F.count_if("ok").alias("passed"))
+
+
+def online_round(turns: DataFrame) -> DataFrame:
+    """One round: causal labels of the turns' lines, a model, its evaluation, its certificate, and whether it is promoted (every trajectory passed)."""
+    from . import certify
+
+    lines = line_ops.explode_lines(turns.select(F.concat_ws(":", "traj_id", "turn_idx", "pos").alias("block_id"), "text"))
+    labels = causal_labels(lines.select("line", (F.size(certify.drivers("line")) > 0).cast("int").alias("label")))
+    weights, metrics = retrain(labels)
+    verdict = certify_promotion(turns, weights)
+    return metrics.select("tp", "fp", "fn", "tn", "accuracy").crossJoin(verdict).withColumn("promoted", (F.col("trajectories") > 0) & (F.col("passed") == F.col("trajectories")))  # one row each

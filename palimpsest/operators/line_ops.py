@@ -137,3 +137,29 @@ def template_runs(blocks: DataFrame, least: int = 5) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("line_no", values.alias("v"))))
     g = x.groupBy("block_id", "run").agg(F.min("line_no").alias("first_line"), F.count("*").alias("lines"), F.first("mask").alias("template"), F.array_join(F.transform(rows, lambda r: r["v"]), " | ").alias("variables"))
     return g.where((F.col("lines") >= least) & F.col("template").contains(T.SLOT)).drop("run")
+
+
+def dropped_summary(lines: DataFrame, error: Column, warn: Column) -> DataFrame:
+    """(block_id, summary): 'n error, n warn, n other' over lines, errors first; empty where none is either."""
+    g = lines.groupBy("block_id").agg(F.count_if(error).alias("e"), F.count_if(~error & warn).alias("w"), F.count_if(~error & ~warn).alias("o"))
+    said = [F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {name}"))) for c, name in (("e", "error"), ("w", "warn"), ("o", "other"))]
+    return g.select("block_id", F.when((F.col("e") == 0) & (F.col("w") == 0), "").otherwise(F.array_join(F.array_compact(F.array(*said)), ", ")).alias("summary"))
+
+
+def smart_digest(blocks: DataFrame, head: int = 400, tail: int = 200) -> DataFrame:
+    """(block_id, text): a skeleton of what parses as code, else the text, through a window; a handle of the original if anything went."""
+    from ..functions import codecs as C
+
+    b = blocks.withColumn("base", F.coalesce(C.udf(C.code_skeleton)("text"), "text"))
+    w = text_window(b.select("block_id", F.col("base").alias("text")), head, tail).withColumnRenamed("text", "out")
+    mark = F.concat("out", F.lit("\n<<elided, handle="), T.handle("text"), F.lit(">>"))
+    return b.join(w, "block_id").select("block_id", F.when(F.col("out") == F.col("text"), F.col("text")).otherwise(mark).alias("text"))
+
+
+def digest_history(blocks: DataFrame, least_lines: int = 6) -> DataFrame:
+    """Blocks with `sent`, the digest of history blocks of at least least_lines lines, and whether it differs."""
+    from ..functions import codecs as C
+
+    long = (F.col("kind") == "history") & (F.size(T.lines("text")) >= least_lines)
+    out = F.when(long, C.udf(lambda t: C.tier1(t, "tool_output"))("text")).otherwise(F.col("text"))
+    return blocks.withColumn("sent", out).withColumn("digested", F.col("sent") != F.col("text"))

@@ -82,11 +82,12 @@ def protect(originals: DataFrame, compressed: DataFrame) -> DataFrame:
 def relevant_lines(blocks: DataFrame, intent: DataFrame, share: float = 0.4) -> DataFrame:
     """(block_id, line_no, line) of lines that share a term with the intent; terms in more than share of a block's lines don't count.
 
-    intent: block_id, term.
+    intent: term, or block_id and term where each block has its own.
     """
+    keys = ["block_id", "term"] if "block_id" in intent.columns else ["term"]
     b = blocks.withColumn("n", F.size(T.lines("text")))
     x = line_ops.explode_lines(b)
-    x = x.withColumn("term", F.explode(T.terms("line"))).join(intent, ["block_id", "term"], "left_semi")
+    x = x.withColumn("term", F.explode(T.terms("line"))).join(intent, keys, "left_semi")
     freq = x.groupBy("block_id", "term").agg(F.count("*").alias("freq"))
     hit = x.join(freq, ["block_id", "term"]).where(F.col("freq") <= F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(share))))
     return hit.select("block_id", "line_no", "line").distinct()

@@ -13,15 +13,15 @@ from ..sources import fixtures as X
 from .base import query
 from .context import SCORE_SQL, lines_sql, lit, tok
 
-LEVELS = (("none", 1_000_000), ("t2000", 2000), ("t1000", 1000), ("t500", 500), ("t250", 250), ("t120", 120))
-MARKED_SQL = "mk as (select doc_id, lang, source, text, quality, toxic, left(text, 600) || chr(10) || 'DECISION: ' || case when toxic = 1 then 'remove' when quality = 1 then 'keep' else 'review' end as marked from documents join labels using (doc_id))"
+LEVELS = (("none", 2**31 - 1), ("t16000", 16000), ("t8000", 8000), ("t4000", 4000), ("t2000", 2000), ("t1000", 1000))
+MARKED_SQL = "mk as (select doc_id, lang, source, text, quality, toxic, text || chr(10) || 'DECISION: ' || case when toxic = 1 then 'remove' when quality = 1 then 'keep' else 'review' end as marked from documents join labels using (doc_id))"
 
 
 def marked(spark, d):
-    """Labelled documents, cut to a tool result of 600 characters and a decision: a fixture of decisions that truncation loses."""
+    """Labelled documents as tool results, whole, with a decision at their end: a fixture of decisions that truncation loses."""
     j = X.table(spark, d, "documents").join(X.table(spark, d, "labels"), "doc_id")
     label = F.when(F.col("toxic") == 1, "remove").when(F.col("quality") == 1, "keep").otherwise("review")
-    return j.withColumn("marked", F.concat(F.expr("left(text, 600)"), F.lit("\nDECISION: "), label))
+    return j.withColumn("marked", F.concat("text", F.lit("\nDECISION: "), label))
 
 
 def losses(spark, d):
@@ -43,7 +43,8 @@ def grade_deterministic(spark, d):
     return certify.decide(m, keys=("traj_id",))
 
 
-@query()
+@query(f"""with {X.LOGS_SQL}, l as (select block_id, unnest(string_split(replace(text, ' value=', ' unit=cents value='), chr(10))) line from logs), f as (select block_id, regexp_extract_all(line, '\\b([A-Za-z_][\\w.]*=[\\w.:/+-]+)', 1) x from l),
+g as (select block_id, list_sort(list_distinct(flatten(list(x) filter (len(x) >= 3)))) facts from f group by block_id) select block_id as traj_id, case when len(coalesce(facts, [])) = 0 then '<no-op>' else 'act:' || left(sha1(array_to_string(facts, '|')), 12) end as decision from g""")
 def grade_smoke(spark, d):
     logs = X.event_logs(spark, d).select(F.col("block_id").alias("traj_id"), F.replace("text", F.lit(" value="), F.lit(" unit=cents value=")).alias("text"), F.lit("volatile").alias("stability"))
     return certify.smoke_decision(logs, ("traj_id",))
@@ -88,9 +89,23 @@ def crc_select(spark, d):
     return certify.crc(losses(spark, d), 0.25).select("level_idx", "level", "n", F.round("corrected", 6).alias("corrected"), "passed")
 
 
-@query()
+def hb_sql(risk: str, n: str, alpha: float) -> str:
+    """SQL of the Hoeffding-Bentkus p-value for a risk that is a mean of n losses of 0 or 1."""
+    tail = f"list_sum(list_transform(range(0, (round({n} * {risk}) + 1)::bigint), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({alpha}::double) + ({n} - i) * ln(1 - {alpha}::double))))"
+    return f"(case when {n} = 0 or {risk} >= {alpha} then 1.0 else least(1.0, exp(-2 * {n} * ({alpha} - {risk}) * ({alpha} - {risk})), exp(1.0::double) * {tail}) end)"
+
+
+@query(f"""with {LOSS_SQL}, s as (select level_idx, level, count(*) n, avg(loss) risk from lo group by all), p as (select *, {hb_sql('risk', 'n', 0.25)} pv from s)
+select level_idx::int as level_idx, level, n, round(risk, 6) as risk, round(pv, 6) as p_value, min((pv <= 0.05)::int) over (order by level_idx) = 1 as passed from p""")
 def ltt_certificate(spark, d):
-    return certify.ltt(losses(spark, d), 0.1, 0.05)
+    p = certify.ltt(losses(spark, d), 0.25, 0.05)
+    return p.select("level_idx", "level", "n", F.round("risk", 6).alias("risk"), F.round("p_value", 6).alias("p_value"), "passed")
+
+
+@query()
+def ltt_bounds(spark, d):
+    """Certified risk bounds of the levels, by bisection."""
+    return certify.ltt(losses(spark, d), 0.25, 0.05).select("level", "n", "risk", "bound")
 
 
 @query()
@@ -143,10 +158,12 @@ def ensemble_votes(spark, d):
     return certify.ensemble(lab.select("doc_id", F.explode(votes).alias("vote")), ("doc_id",))
 
 
-@query()
+@query(f"""with g as (select n_chars::double score, count(*) k, count(*) filter (toxic = 1) m from labels join documents using (doc_id) group by 1),
+c as (select score threshold, coalesce(sum(k) over w, 0)::bigint n, coalesce(sum(m) over w, 0)::bigint misses from g window w as (order by score rows between unbounded preceding and 1 preceding))
+select threshold, n, misses from c where n = 0 or {hb_sql('(misses::double / n)', 'n', 0.2)} <= 0.05 order by threshold desc limit 1""")
 def speculative_threshold(spark, d):
     j = X.table(spark, d, "labels").join(X.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return certify.speculative_threshold(j.select(F.col("n_chars").cast("double").alias("score"), (F.col("toxic") == 1).alias("diverged")), alpha=0.2)
+    return certify.speculative_threshold(j.select(F.col("n_chars").cast("double").alias("score"), (F.col("toxic") == 1).alias("diverged")), alpha=0.2).drop("bound")
 
 
 @query("select doc_id, round(('0x' || left(sha256(doc_id::varchar), 8))::bigint / 4294967296.0::double, 9) as bucket, ('0x' || left(sha256(doc_id::varchar), 8))::bigint / 4294967296.0::double < 0.2 as control from documents")
@@ -192,7 +209,7 @@ def keep_model(spark, d):
     return learn.evaluate(data.where("held").withColumn("p", learn.probability(w)))
 
 
-@query()
+@query("""select event_id, 'tool:' || left(sha256('{"args":{"v":' || floor(value)::bigint || '},"name":"' || event_type || '"}'), 12) as signature from events""")
 def decision_signatures(spark, d):
     e = X.table(spark, d, "events")
     body = F.to_json(F.struct(F.array(F.struct(F.lit("tool_use").alias("type"), F.col("event_type").alias("name"), F.struct(F.floor(F.col("value")).alias("v")).alias("input"))).alias("content")))
@@ -220,13 +237,16 @@ def operating_point(spark, d):
     return certify.operating_point(p).select("name", "gate_recent", "n", F.round("delta", 6).alias("delta"))
 
 
-@query()
+@query(f"""with o as (select count(*) n, avg((quality = 1 and toxic = 1)::int) risk from labels), p as (select *, case when n < 20 then 1.0 else {hb_sql('risk', 'n', 0.2)} end pv from o) select n, round(risk, 6) as risk, round(pv, 6) as p_value, pv <= 0.05 as certified from p""")
 def trajectory_risk(spark, d):
     o = X.table(spark, d, "labels").select((F.col("quality") == 1).alias("full_success"), (F.col("toxic") == 0).alias("compressed_success"))
-    return certify.trajectory_risk(o, alpha=0.2)
+    return certify.trajectory_risk(o, alpha=0.2).select("n", F.round("risk", 6).alias("risk"), F.round("p_value", 6).alias("p_value"), "certified")
 
 
-@query()
+@query(f"""with {LOSS_SQL}, s as (select source t, level_idx, level, sum(loss) s, count(*) n from lo group by all), r as (select *, ('0x' || left(sha256(t || ':' || rep), 8))::bigint % 2 = 0 cal from s, (select unnest(range(0, 100)) rep)),
+g as (select rep, level_idx, level, coalesce(sum(s) filter (cal), 0) s1, coalesce(sum(n) filter (cal), 0) n1, coalesce(sum(s) filter (not cal), 0) s0, coalesce(sum(n) filter (not cal), 0) n0 from r group by all),
+p as (select *, case when n1 = 0 then 1.0 else {hb_sql('(s1 / n1)', 'n1', 0.6)} end pv from g), q as (select *, min((pv <= 0.05)::int) over (partition by rep order by level_idx) = 1 passed from p),
+b as (select rep, arg_max(level, level_idx) as level, arg_max(s0 / greatest(n0, 1), level_idx) risk from q where passed group by rep) select level, count(*) as splits, round(avg((risk <= 0.6)::int), 6) as coverage from b group by level""")
 def split_coverage(spark, d):
     x = losses(spark, d).select(F.col("source").alias("traj_id"), "level_idx", "level", "loss")
-    return certify.split_coverage(x, 0.6, 0.05).groupBy("level").agg(F.count("*").alias("splits"), F.avg(F.col("covered").cast("double")).alias("coverage"))
+    return certify.split_coverage(x, 0.6, 0.05).groupBy("level").agg(F.count("*").alias("splits"), F.round(F.avg(F.col("covered").cast("double")), 6).alias("coverage"))

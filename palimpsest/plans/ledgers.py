@@ -214,14 +214,17 @@ def activity_session(spark, d):
 
 
 @query("""with r as (select user_id::varchar as session, epoch(ts)::double e, floor(value)::bigint v, (event_id % 97) h from events), s as (select session, min(e) started, max(e) ended, count(*) requests, sum(v + 100)::bigint baseline, sum(floor(v / 2))::bigint saved from r group by session),
-b as (select session, count(distinct h) blocks, count(distinct h) filter (h % 2 = 0) restorable from r group by session), w as (select epoch(ts)::double e, event_type = 'error' c from events where event_id % 10 = 0)
+b as (select session, count(distinct h) blocks, count(distinct h) filter (h % 2 = 0) restorable from r group by session), w as (select epoch(ts)::double e, event_type = 'error' c from events)
 select s.session, started, ended, requests, baseline, saved, blocks, restorable, (select count(*) from w where e between started - 1 and ended + 300) as shadow_rows, (select count(*) from w where c and e between started - 1 and ended + 300) as shadow_changed from s join b using (session)""")
 def session_dissection(spark, d):
     r = requests(spark, d).withColumn("epoch", epoch("ts"))
-    shadow = r.where("seq % 10 = 0").select("epoch", (F.col("event_type") == "error").alias("changed"))
+    shadow = r.select("epoch", (F.col("event_type") == "error").alias("changed"))
     return A.dissect(r, shadow, r.where("cast(h as int) % 2 = 0").select("h"))
 
 
-@query()
+@query("""with r as (select user_id::varchar as session, epoch(ts)::double e, floor(value)::bigint v, (event_id % 97) h from events), s as (select session, min(e) started, max(e) ended, sum(v + 100)::bigint baseline, sum(floor(v / 2))::bigint saved from r group by session),
+b as (select session, count(distinct h) blocks, count(distinct h) filter (h % 2 = 0) restorable from r group by session), w as (select epoch(ts)::double e, event_type = 'error' c from events),
+x as (select s.session, saved / baseline share, blocks, restorable, (select count(*) from w where e between started - 1 and ended + 300) n, (select count(*) from w where c and e between started - 1 and ended + 300) k from s join b using (session))
+select session, unnest(list_filter([case when share >= 0.3 then printf('%.0f%% of the tokens were saved', share * 100) end, case when restorable < blocks then printf('%d blocks can''t be restored', blocks - restorable) end, case when k > 0 then printf('%d of %d shadowed decisions changed', k, n) end], lambda t: t is not null)) as headline from x""")
 def session_headlines(spark, d):
     return A.headlines(session_dissection(spark, d))

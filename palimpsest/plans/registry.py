@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context, decisions, ledgers  # noqa: F401
+from . import context, decisions, ledgers, techniques  # noqa: F401
 from .base import ORACLES, QUERIES
 
 FLAGSHIP = "cache_cost_by_strategy"

@@ -83,3 +83,64 @@ def activity_sessions(requests: DataFrame, gap: str = "4 hours", late: str = "10
     """Sessions of a key's activity with gaps below `gap` (an addition of ours)."""
     w = requests.withWatermark("ts", late).groupBy("key", F.session_window("ts", gap).alias("w"))
     return w.agg(F.count("*").alias("requests")).select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests")
+
+
+def session_delta(messages: DataFrame) -> DataFrame:
+    """Per request of a session how far it repeats the one before: session, request, messages, prefix (equal leading messages), fresh.
+
+    State holds the hashes of the newest request's messages and no content. messages: session,
+    request, pos, text. Requests of one batch are taken in order; an older one than the newest seen
+    is held against it too, and doesn't replace it.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, known = state.get if state.exists else (-1, [])
+        rows = []
+        for request, part in pd.concat(list(batches)).sort_values(["request", "pos"]).groupby("request"):
+            hashes = part["h"].tolist()
+            n = next((i for i, (a, b) in enumerate(zip(hashes, known)) if a != b), min(len(hashes), len(known)))
+            rows.append((key[0], int(request), len(hashes), n, len(hashes) - n))
+            if request > newest:
+                newest, known = int(request), hashes
+        state.update((newest, list(known)))
+        yield pd.DataFrame(rows, columns=["session", "request", "messages", "prefix", "fresh"])
+
+    m = messages.withColumn("h", F.sha2("text", 256))
+    return m.groupBy("session").applyInPandasWithState(step, "session string, request long, messages long, prefix long, fresh long", "newest long, known array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+def savings_flush(requests: DataFrame, every: int = 10, age: str = "30 seconds") -> DataFrame:
+    """Savings by model given out after `every` requests or `age` since the first one waiting: model, requests, before, after.
+
+    requests: model, before, after. What waits lies in the state; a group that saved nothing is
+    dropped when its turn comes.
+    """
+    millis = int(age.split()[0]) * {"seconds": 1000, "minutes": 60_000}[age.split()[1]]
+    columns = ["model", "requests", "before", "after"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, before, after = state.get if state.exists else (0, 0, 0)
+        late = state.hasTimedOut
+        out = []
+        if not late:
+            for r in pd.concat(list(batches)).itertuples():
+                n, before, after = n + 1, before + int(r.before), after + int(r.after)
+                if n >= every:
+                    out.append((key[0], n, before, after))
+                    n = before = after = 0
+        elif n:
+            out.append((key[0], n, before, after))
+            n = before = after = 0
+        if n:
+            state.update((n, before, after))
+            state.setTimeoutDuration(millis)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([r for r in out if r[2] > r[3]], columns=columns).astype({c: "int64" for c in columns[1:]})
+
+    return requests.groupBy("model").applyInPandasWithState(step, "model string, requests long, before long, after long", "n long, before long, after long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def sampled(requests: DataFrame, rate: float, key: str = "request_id") -> DataFrame:
+    """The share `rate` of requests, by a hash of their key: the same ones in every run and on every executor."""
+    return requests.where(F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("double") / 4294967296.0 < rate)
