@@ -22,7 +22,7 @@ from .decisions import LOSS_SQL, hb_sql, losses
 DECIDED = "text || case when stability = 'volatile' and pos % 3 = 0 then chr(10) || 'DECISION: a' || (traj_id % 7) else '' end"
 TURNS = X.TURNS_SQL.replace("turns as (", "plain as (") + f", turns as (select traj_id, pos, block_id, kind, stability, {DECIDED} as text, turn_idx from plain)"
 LIMITS = (4000, 2000, 1200, 700, 450, 300, 220, 160, 120, 90)
-_LINES = "list_filter(string_split(text, chr(10)), x -> trim(x) <> '')"
+_LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
 CUT = "(case when length(text) <= 640 then text else left(text, 240) || chr(10) || '…[' || (length(text) - 600) || ' chars truncated]…' || chr(10) || right(text, 360) end)"
 ENDS = f"(case when len({_LINES}) <= 6 then text else {_LINES}[1] || chr(10) || '…[' || (len({_LINES}) - 2) || ' lines summarised]…' || chr(10) || {_LINES}[-1] end)"
 IN_SQL = {"baseline": "text", "truncate-tail": CUT, "summarize": ENDS} | {f"truncate@{n}": f"left(text, {n})" for n in LIMITS}
@@ -41,7 +41,7 @@ def _report_sql(names) -> str:
     key = {n: f"k{i}" for i, n in enumerate(names)}
     ctes = ", ".join(strategy_cte(key[n], out(n)) for n in names)
     bills = " union all ".join(f"select '{n}' as technique, sum(read_tok * 5e-7 + write_tok * 6.25e-6 + fresh_tok * 5e-6) dollars, sum(read_tok + write_tok + fresh_tok) tok from ({simulate_sql(key[n], '')})" for n in names)
-    found = lambda t: f"list_filter(list_transform(regexp_extract_all({t}, 'DECISION:([^\\n]*)', 1), x -> trim(x)), x -> x <> '')"
+    found = lambda t: f"list_filter(list_transform(regexp_extract_all({t}, 'DECISION:([^\\n]*)', 1), lambda x: trim(x)), lambda x: x <> '')"
     dec = lambda t: f"array_to_string(list_sort(flatten(list({found(t)}))), ' | ')"
     same = " union all ".join(f"select '{n}' as technique, traj_id, turn_idx, {dec('text')} = {dec(out(n))} same from turns group by traj_id, turn_idx" for n in names)
     return f"""{TURNS}, {ctes}, bills as ({bills}), same as ({same}), base as (select dollars bd, tok bt from bills where technique = 'baseline'),
@@ -279,7 +279,7 @@ def contents_paths(spark, d):
 
 
 @query(f"""with {X.LOGS_SQL}, l as (select block_id, unnest(string_split(text, chr(10))) line from logs), c as (select block_id, count(*) filter (line ilike '%error%') e, count(*) filter (not line ilike '%error%' and line ilike '%click%') w, count(*) filter (not line ilike '%error%' and not line ilike '%click%') o from l group by block_id)
-select block_id, case when e = 0 and w = 0 then '' else array_to_string(list_filter([case when e > 0 then e || ' error' end, case when w > 0 then w || ' warn' end, case when o > 0 then o || ' other' end], x -> x is not null), ', ') end as summary from c""")
+select block_id, case when e = 0 and w = 0 then '' else array_to_string(list_filter([case when e > 0 then e || ' error' end, case when w > 0 then w || ' warn' end, case when o > 0 then o || ' other' end], lambda x: x is not null), ', ') end as summary from c""")
 def dropped_summary(spark, d):
     """What a fold of a whole log would say of its lines; here a click counts as a warning."""
     x = line_ops.explode_lines(X.event_logs(spark, d))
