@@ -224,20 +224,19 @@ def classify(docs: DataFrame, network: Network, keep_from: float = KEEP) -> Data
                 p = net.score(*tk.buffers(texts.slice(a, b - a)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p), pa.array(p >= keep_from)], names=["doc_id", "probability", "keep"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, probability double, keep boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tk.thrifty(score), "doc_id long, probability double, keep boolean")
 
 
 def kept(docs: DataFrame, network: Network, keep_from: float = KEEP) -> DataFrame:
     """docs without the rows that classify() rejects; all columns stay as they are, whatever their names."""
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
-    @F.pandas_udf("boolean")
-    def good(text):
-        import pandas as pd
-
-        arr = tk.plain(pa.array(text, pa.string(), from_pandas=True))
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        arr = tk.plain(text)
         parts = [sent.value.score(*tk.buffers(arr.slice(a, b - a))) >= keep_from for a, b in tk.slices(arr)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
+        tk.trim()
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
 
     return docs.where(good("text"))
 

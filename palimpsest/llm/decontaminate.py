@@ -137,7 +137,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least_run: int
                 names = ["doc_id", "text_hash", "item_id", "grams", "covered", "longest_run", "item_tokens", "doc_tokens", "spans"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-        hits = src.mapInArrow(scan, ddl)
+        hits = src.mapInArrow(tk.thrifty(scan), ddl)
         out = hits if out is None else out.union(hits)
     return out
 

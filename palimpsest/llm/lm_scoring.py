@@ -17,86 +17,144 @@ from . import textkernels as tk
 
 CLASSES, PER_CLASS, HIDDEN, LANES, WINDOW, RATE = 32, 32, 16, 256, 24, 0.01
 OTHER, EDGE = 0, 1  # ids of a word outside the vocabulary, and of a document's begin and end
+#: Output units that are one word each; the others stand for words of about equal frequency.
+SINGLE = 768
+#: Most words in the vocabulary, which every executor holds; a word counts from two occurrences on, or from as many as this bound asks for.
+MOST_WORDS = 1 << 21
+#: Tokens of a training shard, tokens that are laid out at once, rounds of training and averaging.
+SHARD_TOKENS, CHUNK_TOKENS, ROUNDS = 4_000_000, 1_000_000, 3
 REDUCE = 64
+END = 256  # stands for a word's begin and end in its spelling
 
 
 class Vocabulary:
-    """The words kept, by hash, and byte frequencies that spell the others."""
+    """Words with their output unit and their share of it, and byte pairs that spell all others.
 
-    def __init__(self, words: list[tuple[int, int]], spelled: np.ndarray, total: int, docs: int, size: int = CLASSES * PER_CLASS):
-        self.size = size
+    The commonest words have a unit each; further ones share units with words of about their own
+    frequency, in order of frequency and of about equal weight, so the words grow with the corpus
+    while the network doesn't.
+    """
+
+    def __init__(self, hashes: np.ndarray, n: np.ndarray, spelled: np.ndarray, total: int, docs: int, size: int = CLASSES * PER_CLASS, single: int = SINGLE):
+        order = np.lexsort((hashes, -n))
+        hashes, n = hashes[order], n[order].astype(float)
+        self.size, self.total, single = size, total, min(single, size - 2)
+        slot = np.arange(2, 2 + len(n))
+        tail, bins = n[single:], size - 2 - single
+        if len(tail) and not bins:
+            hashes, n, slot = hashes[:single], n[:single], slot[:single]
+        elif len(tail):
+            share = (np.cumsum(tail) - tail / 2) / tail.sum()
+            slot[single:] = 2 + single + np.minimum((share * bins).astype(np.int64), bins - 1)
         counts = np.ones(size)
-        counts[2 : 2 + len(words)] += [n for _, n in words]
-        counts[OTHER] += max(0, total - sum(n for _, n in words))
+        np.add.at(counts, slot, n)
+        counts[OTHER] += max(0.0, total - n.sum())
         counts[EDGE] += docs
         self.counts = counts
-        h = np.array([w for w, _ in words], np.int64).view(np.uint64)
-        self.order = np.argsort(h)
-        self.hashes = h[self.order]
-        spelled = spelled + 1.0
-        self.bytes = np.log(spelled / spelled.sum())  # 256 is a word's end
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
-        i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == hashes, self.order[i] + 2, OTHER)
+        alone = np.bincount(slot, minlength=size)[slot] == 1
+        within = np.where(alone, 0.0, np.log(n / np.maximum(np.bincount(slot, weights=n, minlength=size)[slot], 1)))
+        order = np.argsort(hashes)
+        self.hashes, self.slots, self.within = hashes[order], slot[order].astype(np.int16), within[order].astype(np.float32)
+        self.bits = max(1, int(len(hashes)).bit_length())
+        self.starts = np.searchsorted(self.hashes >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+        smooth = spelled.reshape(END + 1, END + 1) + 0.1
+        self.spelling = np.log(smooth / smooth.sum(1, keepdims=True)).ravel()
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of words, -1 for those that aren't in the vocabulary."""
+        out = np.full(len(hashes), -1, np.int64)
+        key = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.starts[key], self.starts[key + 1]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            hit = self.hashes[at[live]] == hashes[live]
+            out[live[hit]] = at[live[hit]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token ids, each text's first token, and each text's log-probability of spelling its unknown words."""
-        all_ids, counts, spell = [np.zeros(0, np.int16)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        """Unit of each token, each text's first token, and the log-probability of each text's words within their units or of their spelling."""
+        all_ids, counts, apart = [np.zeros(0, np.int16)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for a, b in tk.slices(texts):
             t = tk.tokenise(texts.slice(a, b - a))
-            ids = self.ids(t.hashes)
-            cum = np.zeros(len(t.bytes) + 1)
-            np.cumsum(self.bytes[t.bytes], out=cum[1:])
-            cost = np.where(ids == OTHER, cum[t.end] - cum[t.start] + self.bytes[256], 0.0)
-            all_ids.append(ids.astype(np.int16))
+            at = self.find(t.hashes)
+            known = at >= 0
+            ids, cost = np.full(len(at), OTHER, np.int16), np.zeros(len(at))
+            ids[known], cost[known] = self.slots[at[known]], self.within[at[known]]
+            if not known.all():
+                lo, hi = t.start[~known], t.end[~known]
+                pairs = (t.bytes[:-1].astype(np.int64) * (END + 1) + t.bytes[1:]) if len(t.bytes) > 1 else np.zeros(0, np.int64)
+                cum = np.zeros(len(pairs) + 1)
+                np.cumsum(self.spelling[pairs], out=cum[1:])
+                cost[~known] = self.spelling[END * (END + 1) + t.bytes[lo].astype(np.int64)] + cum[hi - 1] - cum[lo] + self.spelling[t.bytes[hi - 1].astype(np.int64) * (END + 1) + END]
+            all_ids.append(ids)
             counts.append(np.diff(t.first))
-            spell.append(tk.per_text(cost, t.first, np.add, 0.0))
+            apart.append(tk.per_text(cost, t.first, np.add, 0.0))
         n = np.concatenate(counts)
         first = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=first[1:])
-        return np.concatenate(all_ids), first, np.concatenate(spell)
+        return np.concatenate(all_ids), first, np.concatenate(apart)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) over every document: 0 words by hash, 1 bytes in words, 2 word ends, 3 documents."""
+    """(kind, key, n) over every document: 0 words by hash, 1 byte pairs within words, their begin and end included, 2 words, 3 documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, n, rows = np.zeros((END + 1) ** 2, np.int64), 0, 0
         for batch in batches:
             texts = tk.plain(batch.column(0))
-            words, by_byte, n = [], np.zeros(256, np.int64), 0
+            words = []
             for a, b in tk.slices(texts):
                 t = tk.tokenise(texts.slice(a, b - a))
                 words.append(t.hashes)
-                inside = np.zeros(len(t.bytes) + 1, np.int64)
-                np.add.at(inside, t.start, 1)
+                if not len(t.start):
+                    continue
+                inside = np.zeros(len(t.bytes) + 1, np.int8)
+                np.add.at(inside, t.start + 1, 1)
                 np.add.at(inside, t.end, -1)
-                by_byte += np.bincount(t.bytes[np.cumsum(inside[:-1]) > 0], minlength=256)
+                at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8) > 0)  # bytes with one of the same word before
+                codes = np.concatenate([t.bytes[at - 1].astype(np.int64) * (END + 1) + t.bytes[at], END * (END + 1) + t.bytes[t.start].astype(np.int64), t.bytes[t.end - 1].astype(np.int64) * (END + 1) + END])
+                pairs += np.bincount(codes, minlength=len(pairs))
                 n += len(t.start)
+            rows += len(texts)
             h, c = np.unique(np.concatenate(words) if words else np.zeros(0, np.uint64), return_counts=True)
-            kind = np.concatenate([np.zeros(len(h)), np.ones(256), [2, 3]]).astype(np.int32)
-            key = np.concatenate([h.view(np.int64), np.arange(256), [0, 0]]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(np.concatenate([c, by_byte, [n, len(texts)]]).astype(np.int64))], names=["kind", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), np.int32)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "key", "n"])
+        some = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[np.ones(len(some)), 2, 3].astype(np.int32)), pa.array(np.r_[some, 0, 0].astype(np.int64)), pa.array(np.r_[pairs[some], n, rows].astype(np.int64))], names=["kind", "key", "n"]
+        )
 
-    rows = docs.select("text").mapInArrow(count, "kind int, key long, n long")
+    rows = docs.select("text").mapInArrow(tk.thrifty(count), "kind int, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = CLASSES * PER_CLASS) -> Vocabulary:
+def vocabulary(docs: DataFrame, size: int = CLASSES * PER_CLASS, most_words: int = MOST_WORDS) -> Vocabulary:
+    """The words of all documents that occur twice or more; beyond most_words of them only those that occur more often.
+
+    Words are counted in every row, null and empty texts have none, repeated rows count each. An
+    empty table gives a vocabulary without words.
+    """
     counts = shared.written(count_words(docs), "words")
-    words = counts.where("kind = 0").orderBy(F.desc("n"), "key").limit(size - 2).collect()
-    spelled, total, n = np.zeros(257), 0, 0
+    often = counts.where("kind = 0 and n > 1").groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()  # about as many rows as the square root of all tokens at most
+    least, held = 2, 0
+    for r in often:
+        held += r["words"]
+        if held > most_words:
+            least = r["n"] + 1
+            break
+    words = counts.where(F.col("kind") == 0).where(F.col("n") >= least).select("key", "n").toArrow()
+    spelled, total, n = np.zeros((END + 1) ** 2), 0, 0
     for r in counts.where("kind > 0").collect():
         if r["kind"] == 1:
             spelled[r["key"]] = r["n"]
         elif r["kind"] == 2:
-            spelled[256] = total = r["n"]
+            total = r["n"]
         else:
             n = r["n"]
     shared.discard(counts)
-    return Vocabulary([(r["key"], r["n"]) for r in words], spelled, total, n, size)
+    return Vocabulary(np.asarray(words["key"]).view(np.uint64), np.asarray(words["n"]), spelled, total, n, size)
 
 
 def streams(ids: np.ndarray, first: np.ndarray, lanes: int = LANES):
@@ -287,53 +345,102 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def average(rows: DataFrame) -> DataFrame:
-    """One (weight, params) row for each part of REDUCE rows: the weighted mean of their parameters."""
+    """One (shard, weight, params) row for each REDUCE shards in a row: the weighted mean of their parameters, summed in order."""
 
     def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
         weight = np.asarray(table["weight"], dtype=float)
         total = None
         for w, blob in zip(weight, table["params"].to_pylist(), strict=True):
-            part = [p * (w / weight.sum()) for p in _unpack(blob)]
+            part = [p.astype(np.float64) * (w / weight.sum()) for p in _unpack(blob)]
             total = part if total is None else [a + b for a, b in zip(total, part, strict=True)]
-        return pa.table({"weight": [weight.sum()], "params": [_pack([p.astype(np.float32) for p in total])]})
+        return pa.table({"shard": [table["part"][0].as_py()], "weight": [weight.sum()], "params": [_pack([p.astype(np.float32) for p in total])]})
 
-    n = rows.count()
-    part = F.pmod(F.xxhash64("params"), F.lit(max(1, n // REDUCE)))
-    return rows.withColumn("part", part).groupBy("part").applyInArrow(mean, "weight double, params binary")
+    return rows.withColumn("part", F.floor(F.col("shard") / REDUCE)).groupBy("part").applyInArrow(mean, "shard long, weight double, params binary")
 
 
-def train(docs: DataFrame, words: Vocabulary, lanes: int = LANES) -> Model:
-    """One pass over every document: each partition trains from the same start, and the mean of the results, by tokens, is the model."""
-    model = Model(words.counts)
-    sent = docs.sparkSession.sparkContext.broadcast((words, model))
+def encoded(docs: DataFrame, words: Vocabulary, shards: int, rounds: int) -> DataFrame:
+    """(shard, round, key, ids) of each row with a text; shard, round and order follow from a hash of doc_id and text, not from where rows lie."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, own = pickle.loads(pickle.dumps(sent.value))
-        weight = 0
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, first, _ = vocab.encode(tk.plain(batch.column(0)))
-            own.run(ids, first, train=True, lanes=lanes)
-            weight += len(ids)
+            ids, first, _ = sent.value.encode(tk.plain(batch.column(3)))
+            off = pa.py_buffer((first * 2).astype(np.int64).tobytes())
+            rows = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, off, pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], rows], names=["shard", "round", "key", "ids"])
+
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.where("text is not null").select(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64(key, F.lit(2)), F.lit(rounds)).cast("int").alias("round"), key.alias("key"), "text")
+    return rows.mapInArrow(tk.thrifty(encode), "shard long, round int, key long, ids binary")
+
+
+def train(docs: DataFrame, words: Vocabulary, lanes: int = LANES, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> Model:
+    """One pass over every document, in rounds: in each, every shard trains on its documents of that round from the same start, and the mean of the results, by tokens, is the next start.
+
+    Shards are as many as the tokens ask for and filled by hash; within one, documents come in the
+    order of their hash. So the model depends on the rows alone, not on partitions or executors. A
+    null text isn't trained on, an empty one is an end alone; repeated rows count each; without
+    rows the model is its start.
+    """
+    model = Model(words.counts)
+    shards = max(1, -(-int(words.total) // shard_tokens))
+    every = shared.written(encoded(docs, words, shards, rounds), "encoded")
+    for r in range(rounds):
+        sent = docs.sparkSession.sparkContext.broadcast(model)
+
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            shard, own, held, tokens, weight = None, None, [], 0, 0
+
+            def step() -> None:
+                nonlocal held, tokens, weight
+                if held:
+                    ids = [np.frombuffer(x, np.int16) for x in held]
+                    first = np.zeros(len(ids) + 1, np.int64)
+                    np.cumsum([len(x) for x in ids], out=first[1:])
+                    own.run(np.concatenate(ids), first, train=True, lanes=lanes)
+                    weight += tokens
+                held, tokens = [], 0
+
+            def result() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([float(weight)]), pa.array([_pack(own.params())], pa.binary())], names=["shard", "weight", "params"])
+
+            for batch in batches:
+                for k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if k != shard:
+                        if own is not None:
+                            step()
+                            yield result()
+                        shard, own, weight = k, pickle.loads(pickle.dumps(sent.value)), 0
+                    held.append(ids)
+                    tokens += len(ids) // 2 + 1
+                    if tokens >= CHUNK_TOKENS:
+                        step()
+            if own is not None:
+                step()
+                yield result()
+
+        part = every.where(F.col("round") == r)
+        part = part.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "key").select("shard", "ids")
+        rows = shared.written(part.mapInArrow(tk.thrifty(learn), "shard long, weight double, params binary"), "replicas")
+        while rows.count() > REDUCE:
+            rows = shared.written(average(rows), "replicas")
+        got = sorted(rows.collect(), key=lambda x: x["shard"])
+        weight = sum(x["weight"] for x in got)
         if weight:
-            yield pa.RecordBatch.from_arrays([pa.array([float(weight)]), pa.array([_pack(own.params())], pa.binary())], names=["weight", "params"])
-
-    rows = shared.written(docs.where("text is not null").select("text").mapInArrow(learn, "weight double, params binary"), "replicas")
-    while rows.count() > REDUCE:
-        rows = shared.written(average(rows), "replicas")
-    got = rows.collect()
-    weight = sum(r["weight"] for r in got)
-    if weight:
-        parts = [[p * (r["weight"] / weight) for p in _unpack(r["params"])] for r in got]
-        for name, values in zip(Model.names, zip(*parts, strict=True), strict=True):
-            setattr(model, name, np.sum(values, axis=0).astype(np.float32))
+            parts = [[p.astype(np.float64) * (x["weight"] / weight) for p in _unpack(x["params"])] for x in got]
+            for name, values in zip(Model.names, zip(*parts, strict=True), strict=True):
+                setattr(model, name, np.sum(values, axis=0).astype(np.float32))
+        shared.discard(rows)
+    shared.discard(every)
     return model
 
 
 def score(docs: DataFrame, words: Vocabulary, model: Model) -> DataFrame:
     """(doc_id, tokens, log_likelihood, per_token) of every row's whole text, in nats; tokens don't count the document's end.
 
-    A word outside the vocabulary has the probability of the unknown word times that of its bytes
-    and end under corpus byte frequencies. A null or empty text is a document of no tokens, whose
+    A word has the probability of its output unit times its share of that unit; one outside the
+    vocabulary that of the unknown word times that of its spelling by corpus byte pairs. A null or empty text is a document of no tokens, whose
     only event is its end. A null doc_id is scored like any other, repeated rows each. Other columns
     are ignored. An empty table gives an empty result.
     """
@@ -346,7 +453,7 @@ def score(docs: DataFrame, words: Vocabulary, model: Model) -> DataFrame:
             ll, n = net.run(ids, first, train=False) + spell, np.diff(first)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ll), pa.array(ll / (n + 1))], names=["doc_id", "tokens", "log_likelihood", "per_token"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tokens long, log_likelihood double, per_token double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tk.thrifty(run), "doc_id long, tokens long, log_likelihood double, per_token double")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, k: int = TREES * DEPTH)
                 ids = [batch.column(i).slice(a, b - a).filter(pa.array(some)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(h1), pa.array(t.texts()[some].view(np.int64)), tk.fixed_binary(sig)], names=["doc_id", "th", "h1", "h2", "sig"])
 
-    return _sources(docs).mapInArrow(sign, "doc_id long, th long, h1 long, h2 long, sig binary")
+    return _sources(docs).mapInArrow(tk.thrifty(sign), "doc_id long, th long, h1 long, h2 long, sig binary")
 
 
 def forest(sigs: DataFrame, trees: int = TREES, depth: int = DEPTH, least_depth: int = LEAST_DEPTH) -> DataFrame:
@@ -60,7 +60,7 @@ def forest(sigs: DataFrame, trees: int = TREES, depth: int = DEPTH, least_depth:
                         rest = (rest << 16) | v[:, i]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(rest), pa.array(node)], names=["bucket", "rest", "node"])
 
-    return sigs.select("node", "sig").mapInArrow(grow, "bucket long, rest long, node long")
+    return sigs.select("node", "sig").mapInArrow(tk.thrifty(grow), "bucket long, rest long, node long")
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -73,7 +73,7 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 sets = tk.sets(*tk.tokenise(texts.slice(a, b - a)).shingles(shingle))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    return docs.select("node", "text").mapInArrow(make, "node long, set binary")
+    return docs.select("node", "text").mapInArrow(tk.thrifty(make), "node long, set binary")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:

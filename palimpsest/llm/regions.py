@@ -15,7 +15,7 @@ from . import textkernels as tk
 #: A bucket of at most so many rows is compared in full at once, a larger one through leaders and then by missed().
 FULL = 32
 #: Rows of one side of a block that missed() compares in full.
-BLOCK = 2048
+BLOCK = 1024
 #: A region of more rows is searched one signature value deeper, as long as there is one.
 DENSE = 512
 #: Agreement above the least from which a pair is taken to pass the exact test.
@@ -139,7 +139,7 @@ def bucket_edges(rows: DataFrame, k: int, most: int, least: float) -> DataFrame:
             yield flush(*held[0], last=True)[1]
 
     ordered = rows.select("bucket", "rest", "node", "in_bucket", "sig").repartition("bucket").sortWithinPartitions("bucket", "rest", "node")
-    return ordered.mapInArrow(search, "a long, b long").distinct()
+    return ordered.mapInArrow(tk.thrifty(search), "a long, b long").distinct()
 
 
 def missed(rows: DataFrame, sigs: DataFrame, found: DataFrame, k: int, least: float) -> DataFrame:
@@ -221,7 +221,7 @@ def stars(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(bucket[some]), pa.array(lead[some]), pa.array(node[some])], names=["bucket", "lead", "node"])
 
     ordered = rows.select("bucket", "node").repartition("bucket").sortWithinPartitions("bucket", "node")
-    return ordered.mapInArrow(link, "bucket long, lead long, node long")
+    return ordered.mapInArrow(tk.thrifty(link), "bucket long, lead long, node long")
 
 
 def verified(edges: DataFrame, sets: DataFrame, threshold: float, kind: type = np.uint32) -> DataFrame:
@@ -235,4 +235,4 @@ def verified(edges: DataFrame, sets: DataFrame, threshold: float, kind: type = n
 
     a = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    return edges.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(judge, "a long, b long")
+    return edges.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(tk.thrifty(judge), "a long, b long")

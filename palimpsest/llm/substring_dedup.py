@@ -120,7 +120,7 @@ def paragraphs(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(size), pa.array(buckets.ravel().view(np.int64)), mask=pa.array(~of_batch))
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h), pa.array(pos), pa.array(node.view(np.int64)), lists], names=["doc_id", "h", "pos", "node", "buckets"])
 
-    return _sources(docs).mapInArrow(scan, "doc_id long, h long, pos int, node long, buckets array<long>")
+    return _sources(docs).mapInArrow(tk.thrifty(scan), "doc_id long, h long, pos int, node long, buckets array<long>")
 
 
 def _pair_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def _pair_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     by_doc = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "node")).alias("all")).select("doc_id", "h", F.col("all.pos").alias("at"), F.col("all.node").alias("nodes"))
     by_doc = shared.beside(by_doc, "asked", F.lit(64) + 16 * F.size("at"))
     found = _sources(docs).join(by_doc, ["doc_id", "h"]).select("text", "at", "nodes")
-    return found.mapInArrow(make, "node long, set binary").dropDuplicates(["node"])
+    return found.mapInArrow(tk.thrifty(make), "node long, set binary").dropDuplicates(["node"])
 
 
 def _set_signatures(sets: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def _set_signatures(sets: DataFrame) -> DataFrame:
                 rows = np.stack([np.resize(v, SPAN - 1) for v in values])  # a repeated value changes no minimum
                 yield pa.RecordBatch.from_arrays([batch.column(0), tk.fixed_binary(_signed(rows, VALUES))], names=["node", "sig"])
 
-    return sets.mapInArrow(sign, "node long, sig binary")
+    return sets.mapInArrow(tk.thrifty(sign), "node long, sig binary")
 
 
 def paragraph_links(docs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
@@ -201,7 +201,7 @@ def _contexts(docs: DataFrame, asked: DataFrame, around: int) -> DataFrame:
     by_doc = asked.groupBy("doc_id", "h").agg(F.collect_set(F.struct("l", "r")).alias("ask"))
     by_doc = shared.beside(by_doc, "asked", F.lit(64) + 32 * F.size("ask"))
     found = _sources(docs).join(by_doc, ["doc_id", "h"]).select("doc_id", "h", "text", "ask")
-    return found.mapInArrow(cut, "doc_id long, h long, l int, r int, before binary, after binary").dropDuplicates(["doc_id", "h", "l", "r"])
+    return found.mapInArrow(tk.thrifty(cut), "doc_id long, h long, l int, r int, before binary, after binary").dropDuplicates(["doc_id", "h", "l", "r"])
 
 
 def _agreeing(x: bytes, y: bytes) -> int:
@@ -238,7 +238,7 @@ def _grown(docs: DataFrame, runs: DataFrame) -> DataFrame:
         x = ctx.select("doc_id", "h", "l", "r", F.col("before").alias("xb"), F.col("after").alias("xa"))
         y = ctx.select(F.col("doc_id").alias("rdoc"), F.col("h").alias("rh"), F.col("l").alias("rl"), F.col("r").alias("rr"), F.col("before").alias("yb"), F.col("after").alias("ya"))
         both = todo.join(x, ["doc_id", "h", "l", "r"]).join(y, ["rdoc", "rh", "rl", "rr"]).select(*names, "xb", "xa", "yb", "ya")
-        got = shared.written(both.mapInArrow(measure, ddl), "grown")
+        got = shared.written(both.mapInArrow(tk.thrifty(measure), ddl), "grown")
         more = ((F.col("left") >= around) & (F.col("left") < F.col("room_l"))) | ((F.col("right") >= around) & (F.col("right") < F.col("room_r")))
         done = got.where(~more) if done is None else done.union(got.where(~more))
         todo = got.where(more).select(*names)

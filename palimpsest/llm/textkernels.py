@@ -7,7 +7,9 @@ byte, modulo 2**64) with a final mix; windows of tokens are hashed the same way
 
 from __future__ import annotations
 
+import ctypes
 import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +31,31 @@ _LEADS[[0xC2, 0xC3, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 TOKEN = re.compile("(?:[0-9A-Za-z]|[^\\x00-\\x7f" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in _PUNCT) + "])+")
 
 
+def trim() -> None:
+    """Give memory that is no longer used back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back by this way
+        pass
+
+
+def thrifty(scan: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A scan over batches that gives memory back after each batch it takes, and at its end."""
+
+    def run(batches: Iterable) -> Iterator:
+        def taken() -> Iterator:
+            for batch in batches:
+                yield batch
+                del batch
+                trim()
+
+        yield from scan(taken())
+        trim()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x *= np.uint64(0xBF58476D1CE4E5B9)

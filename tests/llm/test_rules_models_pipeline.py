@@ -147,7 +147,7 @@ def test_language_model_gradients():
 
 
 def test_language_model_is_whole_and_normalised():
-    v = lm_scoring.Vocabulary([(k + 5, 10) for k in range(40)], np.ones(257), 500, 9)
+    v = lm_scoring.Vocabulary(np.arange(5, 45, dtype=np.uint64), np.full(40, 10), np.ones(257 * 257), 500, 9)
     m = lm_scoring.Model(v.counts)
     texts = [[2, 3, 4], [], list(range(2, 40)) * 9, [0, 0]]
     ids = np.array([i for t in texts for i in t], np.int16)
@@ -181,6 +181,40 @@ def test_language_model_learns(spark):
     assert sum(r_["log_likelihood"] for r_ in got[:20]) > sum(r_["log_likelihood"] for r_ in got[20:])
 
 
+def test_language_model_is_the_same_on_any_partitions(spark):
+    """Equal scores for 1, 4 and 13 partitions, with several shards, and more than one of them beyond what is laid out at once."""
+    rows = [(i, prose(i % 90, 60 + i)) for i in range(200)] + [(7, prose(7, 67))] * 3 + [(None, prose(1, 50)), (300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for n in (1, 4, 13):
+        d = docs.repartition(n)
+        words = lm_scoring.vocabulary(d)
+        model = lm_scoring.train(d, words, lanes=8, shard_tokens=9000, rounds=2)
+        got.append(sorted((str(r["doc_id"]), r["tokens"], r["log_likelihood"]) for r in lm_scoring.score(docs, words, model).collect()))
+    assert len(got[0]) == len(rows)
+    for other in got[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in got[0]]
+        assert all(math.isclose(a[2], b[2], rel_tol=1e-6) for a, b in zip(got[0], other))
+
+
+def test_vocabulary_grows_and_shares(spark):
+    """Every word that occurs twice is in it; the shares of the words of a unit add up to 1; spellings are distributions."""
+    docs = spark.createDataFrame([(0, " ".join(f"w{i} " * (2 + 3000 // (i + 1)) for i in range(3000)) + " once never")], "doc_id long, text string")
+    v = lm_scoring.vocabulary(docs)
+    assert len(v.hashes) == 3000 and v.counts.sum() == v.size + v.total + 1
+    shares = np.bincount(v.slots, weights=np.exp(v.within.astype(float)), minlength=v.size)
+    assert np.allclose(shares[2:][shares[2:] > 0], 1, atol=1e-4)
+    assert np.allclose(np.exp(v.spelling).reshape(257, 257).sum(1), 1)
+    ids, first, apart = v.encode(tk.plain(pa.array(["w0 once", "w2999", "", "é"])))
+    assert first.tolist() == [0, 2, 3, 3, 4] and ids[1] == lm_scoring.OTHER == ids[3] and ids[0] >= 2 and ids[2] >= 2
+    s = v.spelling.reshape(257, 257)
+    word = b"once"
+    assert math.isclose(apart[0], s[256, word[0]] + sum(s[x, y] for x, y in zip(word, word[1:])) + s[word[-1], 256], rel_tol=1e-9)
+    assert apart[1] < 0 == apart[2]
+    few = lm_scoring.vocabulary(docs, most_words=100)
+    assert 50 < len(few.hashes) <= 100
+
+
 def test_language_model_odd_rows(spark):
     docs = messy(spark, odd_rows())
     words = lm_scoring.vocabulary(docs)
@@ -193,8 +227,8 @@ def test_language_model_odd_rows(spark):
 
 
 def test_replicas_are_averaged(spark, monkeypatch):
-    rows = [(float(k + 1), lm_scoring._pack([np.full(3, float(k), np.float32)])) for k in range(10)]
-    got = lm_scoring.average(spark.createDataFrame(rows, "weight double, params binary")).collect()
+    rows = [(k, float(k + 1), lm_scoring._pack([np.full(3, float(k), np.float32)])) for k in range(10)]
+    got = lm_scoring.average(spark.createDataFrame(rows, "shard long, weight double, params binary")).collect()
     assert len(got) == 1 and np.allclose(lm_scoring._unpack(got[0]["params"])[0], sum((k + 1) * k for k in range(10)) / 55)
 
 
