@@ -404,6 +404,54 @@ def verify(record: dict, key: str) -> bool:
     return isinstance(record.get("sig"), str) and hmac.compare_digest(sign(record, key), record["sig"])
 
 
+def map_texts(value, change: Callable[[str], str]):
+    """value with every string in it, however deep, changed; the very same object if none changes."""
+    if isinstance(value, str):
+        new = change(value)
+        return value if new == value else new
+    if isinstance(value, dict):
+        got = {k: map_texts(v, change) for k, v in value.items()}
+        return value if all(got[k] is v for k, v in value.items()) else got
+    if isinstance(value, list):
+        items = [map_texts(v, change) for v in value]
+        return value if all(a is b for a, b in zip(items, value, strict=True)) else items
+    return value
+
+
+def rewrite_contents(body: str, plain: Callable[[str], str], result: Callable[[str], str]) -> str:
+    """A request of contents and parts with its texts rewritten: `plain` for text parts, `result` for every string of a function's response.
+
+    The model's own words, calls, inline data and what isn't such a request stay as they are; so does
+    the whole body, byte for byte, if nothing changes.
+    """
+    try:
+        request = json.loads(body)
+    except (ValueError, TypeError):
+        return body
+    if not isinstance(request, dict) or not isinstance(request.get("contents"), list):
+        return body
+
+    def part(p, role):
+        if not isinstance(p, dict):
+            return p
+        if isinstance(p.get("text"), str):
+            return p if role == "model" else map_texts(p, lambda t: plain(t) if t == p["text"] else t)
+        answer = p.get("functionResponse")
+        if isinstance(answer, dict) and "response" in answer:
+            new = map_texts(answer["response"], result)
+            return p if new is answer["response"] else {**p, "functionResponse": {**answer, "response": new}}
+        return p
+
+    contents, changed = [], False
+    for c in request["contents"]:
+        if isinstance(c, dict) and isinstance(c.get("parts"), list):
+            parts = [part(p, c.get("role", "")) for p in c["parts"]]
+            if any(a is not b for a, b in zip(parts, c["parts"], strict=True)):
+                c, changed = {**c, "parts": parts}, True
+        contents.append(c)
+    return json.dumps({**request, "contents": contents}, ensure_ascii=False) if changed else body
+
+
 _TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "boolean": BooleanType()}
 
 

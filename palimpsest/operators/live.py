@@ -179,3 +179,9 @@ def sparse_words(text: str, keep: float = 0.5) -> Column:
     words = F.regexp_extract_all(F.col(text), F.lit(r"[^\s]+"), F.lit(0))
     stride, known = max(2, int(1 / max(keep, 1e-3))), salience.pattern_tokens(text)
     return F.when(F.size(words) <= 8, F.col(text)).otherwise(F.array_join(F.filter(words, lambda w, i: (i % stride == 0) | F.array_contains(known, w)), " "))
+
+
+def compress_contents(requests: DataFrame, verbatim: bool = False) -> DataFrame:
+    """Requests (.., body) of contents and parts with `sent`: texts made plain, function responses digested (folded in verbatim mode); none is exempt for being recent."""
+    run = C.udf(lambda body: C.rewrite_contents(body, plain, lambda t: tool_result(t, verbatim, False, False, None)))
+    return requests.withColumn("sent", run("body"))

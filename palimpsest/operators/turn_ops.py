@@ -144,3 +144,30 @@ def gist_savings(texts: DataFrame) -> DataFrame:
         n.alias("registered"), d.alias("refs"), (n - d).alias("hits"), ((n - d) / n).alias("dedup_rate"), F.sum(F.col("n") * F.col("tok")).alias("tok_full"),
         F.sum((F.col("n") - 1) * F.greatest(F.lit(0).cast("long"), F.col("tok") - cost)).alias("tok_saved"),
     )
+
+
+def near_bases(messages: DataFrame, least_chars: int = 400, least_share: float = 0.5) -> DataFrame:
+    """(traj_id, pos, base_pos, shared, lines): for a long message the earlier one of its session that it resembles, as a base for a delta.
+
+    Each distinct line is looked up in the newest earlier message that has it too, so the work grows
+    with lines and not with pairs of messages; the message that answers for most lines, the newest
+    of equals, is the base if those are least_share of all distinct lines. Exact repeats have
+    themselves as a base with all lines shared; shorter messages and those without a base have no row.
+    """
+    m = messages.where(F.length("text") >= least_chars)
+    x = m.select("traj_id", "pos", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).select("traj_id", "pos", F.sha2("line", 256).alias("h"))
+    x = x.withColumn("base_pos", F.lag("pos").over(Window.partitionBy("traj_id", "h").orderBy("pos")))
+    lines = F.sum("n").over(Window.partitionBy("traj_id", "pos"))
+    g = x.groupBy("traj_id", "pos", "base_pos").agg(F.count("*").alias("n")).withColumn("lines", lines).where("base_pos is not null")
+    best = F.row_number().over(Window.partitionBy("traj_id", "pos").orderBy(F.desc("n"), F.desc("base_pos")))
+    g = g.withColumn("nth", best).where((F.col("nth") == 1) & (F.col("n") >= least_share * F.col("lines")))
+    return g.select("traj_id", "pos", "base_pos", F.col("n").alias("shared"), "lines")
+
+
+def near_deltas(messages: DataFrame, **how) -> DataFrame:
+    """Messages that have a base (see near_bases), with `sent`: the delta to it where that is shorter, else the text."""
+    from ..functions import codecs as C
+
+    b = near_bases(messages, **how).join(messages.select("traj_id", F.col("pos").alias("base_pos"), F.col("text").alias("base")), ["traj_id", "base_pos"])
+    j = messages.select("traj_id", "pos", "text").join(b, ["traj_id", "pos"])
+    return j.withColumn("sent", C.udf(lambda t, base: C.near_delta(t, [base]))(F.col("text"), F.col("base"))).select("traj_id", "pos", "base_pos", "text", "sent")

@@ -11,7 +11,7 @@ from ..functions import codecs as C
 from ..functions import stats as S
 from ..functions import text as T
 from ..operators import analytics as A
-from ..operators import certify, cost, learn, line_ops
+from ..operators import certify, cost, learn, line_ops, live, turn_ops
 from ..operators import techniques as K
 from ..sources import fixtures as X
 from . import decisions, ledgers
@@ -323,6 +323,37 @@ def output_digest(spark, d):
     return out.select("traj_id", "pos", "block_id", F.length("text").alias("before"), F.length("sent").alias("after"), "digested")
 
 
+def _rereads(spark, d) -> DataFrame:
+    """Per user and month a log read, edited and read again, then read once more with an unrelated tail."""
+    logs = X.event_logs(spark, d)
+    again = F.array(F.struct(F.lit(0).alias("pos"), F.col("text").alias("text")), F.struct(F.lit(1).alias("pos"), F.replace("text", F.lit(" click "), F.lit(" tap ")).alias("text")), F.struct(F.lit(2).alias("pos"), F.concat("text", F.lit("\n"), "block_id").alias("text")))
+    return logs.select(F.col("block_id").alias("traj_id"), F.explode(again).alias("m")).select("traj_id", "m.*")
+
+
+@query(f"""with {X.LOGS_SQL}, m as (select block_id traj_id, 0 pos, text from logs union all select block_id, 1, replace(text, ' click ', ' tap ') from logs union all select block_id, 2, text || chr(10) || block_id from logs),
+x as (select traj_id, pos, unnest(list_distinct(string_split(text, chr(10)))) line from m where length(text) >= 400), y as (select *, lag(pos) over (partition by traj_id, line order by pos) base_pos from x),
+g as (select traj_id, pos, base_pos, count(*) n from y group by all), h as (select *, sum(n) over (partition by traj_id, pos) lines from g), r as (select *, row_number() over (partition by traj_id, pos order by n desc, base_pos desc) nth from h where base_pos is not null)
+select traj_id, pos::int as pos, base_pos::int as base_pos, n as shared, lines::bigint as lines from r where nth = 1 and n >= 0.5 * lines""")
+def delta_bases(spark, d):
+    return turn_ops.near_bases(_rereads(spark, d))
+
+
+@query()
+def cache_deltas(spark, d):
+    """What rereads after an edit cost as deltas to their base."""
+    x = turn_ops.near_deltas(_rereads(spark, d))
+    return x.groupBy("pos", "base_pos").agg(F.count("*").alias("messages"), F.sum(T.token_count("text")).alias("tokens"), F.sum(T.token_count("sent")).alias("sent_tokens"), F.count_if(F.col("sent") != F.col("text")).alias("deltas"))
+
+
+@query()
+def contents_requests(spark, d):
+    """Logs as function responses in requests of contents and parts, before and after."""
+    part = F.struct(F.struct(F.lit("read").alias("name"), F.struct(F.col("text").alias("output")).alias("response")).alias("functionResponse"))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), F.array(part).alias("parts"))).alias("contents")))
+    out = live.compress_contents(X.event_logs(spark, d).select("block_id", body.alias("body")))
+    return out.select("block_id", F.length("body").alias("before"), F.length("sent").alias("after"), F.col("sent").contains("handle=").alias("digested"))
+
+
 # --- the learning loop ----------------------------------------------------------------------------------------------
 
 
