@@ -295,14 +295,17 @@ def best_base(text: str, bases: list[str], least: float = 0.5) -> int | None:
 
 
 def near_delta(text: str, bases: list[str]) -> str:
-    """text as a structural or line delta against the most similar base, if that is shorter."""
+    """text as a delta against the most similar base, if there is one and that is shorter."""
     i = best_base(text, bases)
-    if i is None:
-        return text
-    delta = structural_delta(bases[i], text)
+    return text if i is None else delta_to(bases[i], text)
+
+
+def delta_to(base: str, text: str) -> str:
+    """text as a structural or line delta against the base, if that is shorter."""
+    delta = structural_delta(base, text)
     if delta is None:
-        lines = difflib.unified_diff(bases[i].splitlines(True), text.splitlines(True), handle(bases[i]), "current", n=2)
-        delta = f"«delta base={handle(bases[i])} handle={handle(text)}»\n" + "".join(lines)
+        lines = difflib.unified_diff(base.splitlines(True), text.splitlines(True), handle(base), "current", n=2)
+        delta = f"«delta base={handle(base)} handle={handle(text)}»\n" + "".join(lines)
     return delta if len(delta) < len(text) else text
 
 

@@ -170,4 +170,4 @@ def near_deltas(messages: DataFrame, **how) -> DataFrame:
 
     b = near_bases(messages, **how).join(messages.select("traj_id", F.col("pos").alias("base_pos"), F.col("text").alias("base")), ["traj_id", "base_pos"])
     j = messages.select("traj_id", "pos", "text").join(b, ["traj_id", "pos"])
-    return j.withColumn("sent", C.udf(lambda t, base: C.near_delta(t, [base]))(F.col("text"), F.col("base"))).select("traj_id", "pos", "base_pos", "text", "sent")
+    return j.withColumn("sent", C.udf(C.delta_to)(F.col("base"), F.col("text"))).select("traj_id", "pos", "base_pos", "text", "sent")

@@ -48,6 +48,7 @@ def test_dedup_batch_and_stream(spark, tmp_path):
     assert batch == {(1, 0, 1): 0, (1, 3, 0): 0}
     src = f"{tmp_path}/in"
     df.coalesce(1).write.parquet(src)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # no batches that only wait for time-outs
     q = online.dedup_stream(spark.readStream.schema(df.schema).parquet(src)).writeStream.format("memory").queryName("dd").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {(r["traj_id"], r["turn_idx"], r["pos"]): r["first_turn"] for r in spark.table("dd").where("is_repeat").collect()}
