@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,20 @@ def test_sessions_and_scores(spark):
     assert p[0][0] == 1 and abs(p[1][0] - 22 / 1024) < 1e-9 and p[2][0] == 1
 
 
+def test_prefix_dollars_exact(spark):
+    r = random.Random(3)
+    rows = [(j, t, k, f"b{k}", "history", "settling", " ".join(f"w{j}{k}{t if k > 4 else 0}" for _ in range(1 + (j + 7 * k) % 23))) for j in range(60) for t in range(3) for k in range(9)]
+    r.shuffle(rows)
+    t = spark.createDataFrame(rows, DDL)
+    fresh, read = {}, {}
+    tokens = {(x["traj_id"], x["turn_idx"], x["pos"]): x["n"] for x in t.select("traj_id", "turn_idx", "pos", K.T.token_count("text").alias("n")).collect()}
+    for (j, i, k), n in tokens.items():
+        into = read if i and k <= 4 else fresh
+        into[j] = into.get(j, 0) + n
+    want = {j: float(Decimal(10 * fresh[j] + read[j]) / 2_000_000) for j in fresh}
+    assert dict(map(tuple, K.prefix_dollars(t).collect())) == want
+
+
 def test_contents():
     big = "\n".join(f"line {i} of a log" for i in range(50))
     body = json.dumps({"contents": [{"role": "model", "parts": [{"text": "a  a"}]}, {"role": "user", "parts": [{"text": '{ "k" : 1 }'}, {"functionResponse": {"name": "f", "response": {"out": [big, 5]}}}, {"functionCall": {"args": {"x": big}}}]}, "odd"]})
