@@ -16,6 +16,8 @@ from . import shared
 from . import textkernels as tk
 
 CLASSES, PER_CLASS, HIDDEN, LANES, WINDOW, RATE = 32, 32, 16, 256, 24, 0.01
+#: Steps that are scored at once; the state goes on, so scores don't depend on it.
+SCORED = 96
 OTHER, EDGE = 0, 1  # ids of a word outside the vocabulary, and of a document's begin and end
 #: Output units that are one word each; the others stand for words of about equal frequency.
 SINGLE = 768
@@ -202,85 +204,99 @@ class Model:
         return [getattr(self, n) for n in self.names]
 
     def steps(self, x: np.ndarray, h: np.ndarray, keep: bool):
-        """States after each step, from h; with keep, what the way back needs."""
-        t, b, n = *x.shape, self.h
-        g = self.e[np.maximum(x, 0)]
-        out = np.empty((t, b, n), np.float32)
-        saved = np.empty((4, t, b, n), np.float32) if keep else None  # before, gates z and r, u·h of the candidate
-        cand = np.empty((t, b, n), np.float32) if keep else None
-        start = x == EDGE
+        """States after each step, from h; with keep, what the way back needs. Inside, lanes come last, so that every slice of units is one piece."""
+        n, h = self.h, h.T
+        g = np.ascontiguousarray(self.e[np.maximum(x, 0)].transpose(0, 2, 1))  # becomes the gates z and r and the candidate
+        t, b = x.shape
+        out = np.empty((t, n, b), np.float32)
+        before, uns = (np.empty((t, n, b), np.float32), np.empty((t, n, b), np.float32)) if keep else (None, None)
+        start, ut = x == EDGE, np.ascontiguousarray(self.u.T)
+        begins = start.any(1)
         for i in range(t):
-            h = np.where(start[i][:, None], np.float32(0), h)
-            a = h @ self.u
-            zr = g[i, :, : 2 * n] + a[:, : 2 * n]
+            if begins[i]:
+                h = np.where(start[i], np.float32(0), h)
+            a = ut @ h
+            zr, c, un = g[i, : 2 * n], g[i, 2 * n :], a[2 * n :]
+            zr += a[: 2 * n]
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r, un = zr[:, :n], zr[:, n:], a[:, 2 * n :]
-            c = np.tanh(g[i, :, 2 * n :] + r * un)
             if keep:
-                saved[0, i], saved[1, i], saved[2, i], saved[3, i], cand[i] = h, z, r, un, c
-            h = c + z * (h - c)
+                before[i], uns[i] = h, un
+            un *= zr[n:]
+            c += un
+            np.tanh(c, out=c)
+            h = h - c
+            h *= zr[:n]
+            h += c
             out[i] = h
-        return out, h, saved, cand, start
+        return out.transpose(0, 2, 1), h.T, (before, g, uns), g[:, 2 * n :], start
 
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict | None):
         """Log-probabilities of the targets y from states h [n, hidden]; with grads, also the states' gradients."""
-        k, w = y // self.s, y % self.s
-        n = np.arange(len(y))
-        lc = h @ self.wc + self.bc
+        k = y // self.s
+        order = np.argsort(k, kind="stable")
+        k, h = k[order], h[order]
+        w, n = y[order] - k * self.s, np.arange(len(y))
+        share = np.float32(1 / max(1, len(y)))
+        h = np.concatenate([h.T, np.ones((1, len(y)), np.float32)])  # the last unit carries the biases
+        wc, ww = np.vstack([self.wc, self.bc]), np.concatenate([self.ww, self.bw[:, None]], axis=1)
+        lc = wc.T @ h
         np.exp(lc, out=lc)
-        lc /= lc.sum(1, keepdims=True)
-        logp = np.log(lc[n, k])
+        total = lc.sum(0)
+        p = lc[k, n] / total
         if grads is not None:
-            lc[n, k] -= 1
-            lc /= len(y)
-            grads["wc"], grads["bc"] = h.T @ lc, lc.sum(0)
-            dh = lc @ self.wc.T
-            dww, dbw = np.zeros_like(self.ww), np.zeros_like(self.bw)
-        order = np.argsort(k, kind="stable")
-        hs, ws = h[order], w[order]
-        cut = np.searchsorted(k[order], np.arange(self.c + 1))
-        lw_all, back = np.empty(len(y), np.float32), np.empty_like(hs) if grads is not None else None
+            lc *= share / total
+            lc[k, n] -= share
+            dwc, dww = h @ lc.T, np.zeros_like(ww)
+            dh = self.wc @ lc
+        cut = np.searchsorted(k, np.arange(self.c + 1))
         for c in range(self.c):
             a, b = cut[c], cut[c + 1]
             if a == b:
                 continue
-            m, lw = np.arange(b - a), hs[a:b] @ self.ww[c] + self.bw[c]
+            hs, at = h[:, a:b], w[a:b] * (b - a) + n[: b - a]
+            lw = ww[c].T @ hs
             np.exp(lw, out=lw)
-            lw /= lw.sum(1, keepdims=True)
-            lw_all[a:b] = lw[m, ws[a:b]]
+            total, flat = lw.sum(0), lw.reshape(-1)
+            p[a:b] *= flat[at] / total
             if grads is not None:
-                lw[m, ws[a:b]] -= 1
-                lw /= len(y)
-                dww[c], dbw[c] = hs[a:b].T @ lw, lw.sum(0)
-                back[a:b] = lw @ self.ww[c].T
-        logp[order] += np.log(lw_all)
+                lw *= share / total
+                flat[at] -= share
+                dww[c] = hs @ lw.T
+                dh[:, a:b] += self.ww[c] @ lw
+        if grads is not None:
+            grads["wc"], grads["bc"], grads["ww"], grads["bw"] = dwc[:-1], dwc[-1], dww[:, :-1], dww[:, -1]
+        logp = np.empty(len(y), np.float32)
+        logp[order] = np.log(p)
         if grads is None:
             return logp, None
-        grads["ww"], grads["bw"] = dww, dbw
-        dh[order] += back
-        return logp, dh
+        back = np.empty((len(y), self.h), np.float32)
+        back[order] = dh.T
+        return logp, back
 
     def backward(self, x, dout, saved, cand, start, grads) -> None:
         t, b, n = dout.shape
-        before, zs, rs, uns = saved
-        gx, gu = np.empty((t, b, 3 * n), np.float32), np.empty((t, b, 3 * n), np.float32)
-        dh = np.zeros((b, n), np.float32)
-        ut = np.ascontiguousarray(self.u.T)
+        dout, begins = np.ascontiguousarray(dout.transpose(0, 2, 1)), start.any(1)
+        before, g, uns = saved
+        z, r, c = g[:, :n], g[:, n : 2 * n], cand
+        to_n, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), uns * r * (1 - r)
+        gu, gn = np.empty((t, 3 * n, b), np.float32), np.empty((t, n, b), np.float32)
+        dh = np.zeros((n, b), np.float32)
         for i in range(t - 1, -1, -1):
             dh += dout[i]
-            z, r, c = zs[i], rs[i], cand[i]
-            dn = dh * (1 - z) * (1 - c * c)
-            gx[i, :, :n] = dh * (before[i] - c) * z * (1 - z)
-            gx[i, :, n : 2 * n] = dn * uns[i] * r * (1 - r)
-            gx[i, :, 2 * n :] = dn
-            gu[i, :, : 2 * n] = gx[i, :, : 2 * n]
-            gu[i, :, 2 * n :] = dn * r
-            dh = dh * z + gu[i] @ ut
-            dh[start[i]] = 0
-        grads["u"] = before.reshape(-1, n).T @ gu.reshape(-1, 3 * n)
+            np.multiply(dh, to_n[i], out=gn[i])
+            np.multiply(dh, to_z[i], out=gu[i, :n])
+            np.multiply(gn[i], to_r[i], out=gu[i, n : 2 * n])
+            np.multiply(gn[i], r[i], out=gu[i, 2 * n :])
+            dh *= z[i]
+            dh += self.u @ gu[i]
+            if begins[i]:
+                dh[:, start[i]] = 0
+        grads["u"] = np.matmul(before, gu.transpose(0, 2, 1)).sum(0)
+        gx = np.empty((t, b, 3 * n), np.float32)
+        gx[:, :, : 2 * n], gx[:, :, 2 * n :] = gu[:, : 2 * n].transpose(0, 2, 1), gn.transpose(0, 2, 1)
         ids = x.ravel()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
@@ -304,10 +320,10 @@ class Model:
             out, h, saved, cand, start = self.steps(xs, h[:live], train)
             real = ys >= 0
             grads: dict | None = {} if train else None
-            logp, dh = self.output(out[real], ys[real].astype(np.int64), grads)
+            logp, dh = self.output(out[real], ys[real], grads)
             total[at : at + window, :live][real] = logp
             if train:
-                dout = np.zeros_like(out)
+                dout = np.zeros(out.shape, np.float32)
                 dout[real] = dh
                 self.backward(xs, dout, saved, cand, start, grads)
                 # windows at the end of long texts have few lanes: they wait for each other
@@ -450,7 +466,7 @@ def score(docs: DataFrame, words: Vocabulary, model: Model) -> DataFrame:
         vocab, net = sent.value
         for batch in batches:
             ids, first, spell = vocab.encode(tk.plain(batch.column(1)))
-            ll, n = net.run(ids, first, train=False) + spell, np.diff(first)
+            ll, n = net.run(ids, first, train=False, window=SCORED) + spell, np.diff(first)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ll), pa.array(ll / (n + 1))], names=["doc_id", "tokens", "log_likelihood", "per_token"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tk.thrifty(run), "doc_id long, tokens long, log_likelihood double, per_token double")

@@ -164,6 +164,17 @@ def test_language_model_is_whole_and_normalised():
     assert math.isclose(float(np.exp(logs).sum()), 1.0, rel_tol=1e-3)
 
 
+def test_lm_lanes_last_and_long_windows():
+    r = np.random.default_rng(4)
+    size = np.r_[0, 1, 700, r.integers(1, 60, 40)]
+    first = np.r_[0, np.cumsum(size)]
+    ids = r.integers(0, 16, first[-1]).astype(np.int16)
+    m = lm_scoring.Model(np.ones(16), hidden=5, classes=4, per_class=4)
+    out, h, *_ = m.steps(ids[:12].reshape(4, 3), np.zeros((3, 5), np.float32), True)
+    assert out.shape == (4, 3, 5) and h.shape == (3, 5) and out[0].T.flags.c_contiguous
+    assert np.allclose(m.run(ids, first, False, window=lm_scoring.SCORED), m.run(ids, first, False, window=3, lanes=7), atol=1e-3)
+
+
 def test_language_model_learns(spark):
     r = random.Random(3)
     say = lambda n: " ".join(w for _ in range(n) for w in r.choice(("the red fox runs", "a blue bird sings", "my old dog sleeps")).split())
