@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import regions, shared
+from . import exact_links, regions, shared
 from . import textkernels as tk
 
 #: A paragraph is REACH tokens on either side of its anchor, a GRAM-token window.
@@ -23,8 +23,6 @@ LEAST_TOKENS = 40
 GAP, SHIFT, DIFFERENT = 16, 4, -4
 #: Tokens around a passage that are compared at first; GROW times more as long as all of them agree.
 AROUND, GROW = 64, 8
-#: Values and slack of the signatures that pick pairs of dense buckets.
-VALUES, SLACK = 32, 0.25
 _SECOND = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,17 +144,6 @@ def _pair_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(tk.thrifty(make), "node long, set binary").dropDuplicates(["node"])
 
 
-def _set_signatures(sets: DataFrame) -> DataFrame:
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                values = [np.frombuffer(s, np.uint64) for s in batch.column(1).to_pylist()]
-                rows = np.stack([np.resize(v, SPAN - 1) for v in values])  # a repeated value changes no minimum
-                yield pa.RecordBatch.from_arrays([batch.column(0), tk.fixed_binary(_signed(rows, VALUES))], names=["node", "sig"])
-
-    return sets.mapInArrow(tk.thrifty(sign), "node long, sig binary")
-
-
 def paragraph_links(docs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
     """Components (node, root) of different paragraphs that share a bucket and have an exact Jaccard of token pairs of at least the threshold."""
     stars = shared.written(regions.stars(units.where("buckets is not null").select(F.explode("buckets").alias("bucket"), "node")), "stars")
@@ -170,10 +157,9 @@ def paragraph_links(docs: DataFrame, units: DataFrame, threshold: float) -> Data
     many = stars.groupBy("bucket").agg(F.count("*").alias("n"), F.first("lead").alias("lead")).where("n > 1")
     if many.isEmpty():
         return found
-    members = stars.join(many.select("bucket", (F.col("n") + 1).alias("in_bucket")), "bucket").select("bucket", "node", "in_bucket")
-    members = members.union(many.select("bucket", "lead", F.col("n") + 1))
-    again = shared.written(regions.missed(members, _set_signatures(sets), found, VALUES, threshold - SLACK), "edge")
-    return found if again.isEmpty() else shared.components(sure.union(regions.verified(again, sets, threshold, np.uint64)))
+    members = stars.join(many.select("bucket"), "bucket").select("bucket", "node").union(many.select("bucket", "lead"))
+    again = exact_links.links(members, sets, found, SPAN - 1, threshold)
+    return found if again.isEmpty() else shared.components(sure.union(again))
 
 
 def _contexts(docs: DataFrame, asked: DataFrame, around: int) -> DataFrame:
