@@ -131,7 +131,8 @@ def _met(crowd: DataFrame, width: int, threshold: float) -> DataFrame:
             for m, n in np.unique(np.stack([size, other], axis=1), axis=0):
                 if need[m, n] > min(m, n):
                     continue
-                left_out = np.array(list(itertools.combinations(range(m), m - need[m, n])), np.int64).reshape(-1, m - need[m, n])
+                choices = list(itertools.combinations(range(m), m - need[m, n]))  # one that is empty if all elements are needed
+                left_out = np.array(choices, np.int64).reshape(len(choices), m - need[m, n])
                 rows, step = np.flatnonzero((size == m) & (other == n)), max(1, KEYS // len(left_out))
                 tag = tk.mix(np.array([min(m, n) * (width + 1) + max(m, n)], np.uint64))
                 for k in range(0, len(rows), step):

@@ -82,3 +82,11 @@ def test_dense_buckets_write_no_pairs(spark, monkeypatch):
     got = substring_dedup.repeated_passages(docs).collect()
     assert {r["doc_id"] for r in got if r["removed"]} == set(range(1, n)) and all(r["first_doc_id"] == 0 for r in got)
     assert max(most)[0] <= 30 * n, max(most)
+
+
+def test_small_sets_meet_whole(spark):
+    """Sets so small that alike ones have all elements in common have one key each."""
+    one, two, three = (bytearray(np.arange(100, 100 + n, dtype=np.uint64).tobytes()) for n in (1, 2, 3))
+    rows = [(1, one), (2, one), (3, two), (4, two), (5, three), (6, three)]
+    crowd = spark.createDataFrame([(i, len(s) // 8, len(s) // 8, s) for i, s in rows], "node long, size int, other int, `set` binary")
+    assert sorted(tuple(x) for x in exact_links._met(crowd, WIDTH, THRESHOLD).collect()) == [(1, 2), (3, 4), (5, 6)]
