@@ -157,8 +157,8 @@ def links(rows: DataFrame, sets: DataFrame, found: DataFrame, width: int, thresh
     found: node, root, of what is joined already. Buckets that `found` joins as a whole are passed
     over. No pair is left out: where a bucket holds at most FEW sets of a size, each of them is
     compared with all sets of the bucket; larger classes meet through the subsets that alike sets
-    must share. So a row is compared with at most FEW others for each size, whatever the bucket's
-    size, and only links are written, never candidates. Pairs that others join already are left out;
+    must share. So there are at most FEW pairs for each row and size, whatever the bucket's size,
+    and only links are written, never candidates. Pairs that others join already are left out;
     sets of two large classes may be joined through a third without being alike.
     """
     sized = rows.select("bucket", "node").distinct().join(found, "node", "left").join(sets.select("node", (F.octet_length("set") / 8).cast("int").alias("size")), "node")
