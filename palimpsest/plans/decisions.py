@@ -178,9 +178,9 @@ def bootstrap_interval(spark, d):
     """Mean, bootstrap interval, betting and tight bounds of the loss by language, over values in order of doc_id."""
     j = X.table(spark, d, "labels").join(X.table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v = (1 - pdf.sort_values("doc_id")["quality"]).astype(float).tolist()
-        return pd.DataFrame([(pdf["lang"].iloc[0], len(v), *S.bootstrap_ci(v), S.betting_bound(v, 0.05), S.tight_bound(v, 0.05))], columns=["lang", "n", "mean", "low", "high", "betting", "tight"])
+        return pd.DataFrame([(key[0], len(v), *S.bootstrap_ci(v), S.betting_bound(v, 0.05), S.tight_bound(v, 0.05))], columns=["lang", "n", "mean", "low", "high", "betting", "tight"])
 
     return j.select("doc_id", "lang", "quality").groupBy("lang").applyInPandas(one, "lang string, n long, mean double, low double, high double, betting double, tight double")
 
